@@ -6,3 +6,12 @@ Spark SQL functions, joins, windows and (for the stream-only parts)
 """
 
 __version__ = "0.1.0"
+
+import sys as _sys
+
+try:  # ship this package's functions to Python workers by value (no install needed on executors)
+    from pyspark import cloudpickle as _cp
+
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle
+    pass

@@ -131,18 +131,15 @@ def normalise_ranges(ranges: DataFrame, payload: tuple[str, ...] = PAYLOAD, orde
         F.max_by(F.struct(*[F.col(c) for c in cols]), F.col(order)).alias("w")
     )
     win = win.select(*part, F.col("slo").alias("lo"), F.col("shi").alias("hi"), *[F.col("w").getField(c).alias(c) for c in cols])
-    # Merge touching segments with equal payload (gaps-and-islands within a /8).
-    w2 = Window.partitionBy(*part).orderBy("lo")
-    same = F.lit(True)
-    for c in payload:
-        same = same & F.lag(c).over(w2).eqNullSafe(F.col(c))
+    # Coalesce touching segments with equal payload: gaps-and-islands per
+    # payload (one ASN's ranges), so merging also works across /8 edges.
+    w2 = Window.partitionBy("ver", *payload).orderBy("lo")
     touching = key_succ(F.lag("hi").over(w2)) == F.col("lo")
-    flagged = win.withColumn("_new", F.when(same & F.coalesce(touching, F.lit(False)), 0).otherwise(1))
+    flagged = win.withColumn("_new", F.when(F.coalesce(touching, F.lit(False)), 0).otherwise(1))
     flagged = flagged.withColumn("_isl", F.sum("_new").over(w2.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = flagged.groupBy(*part, "_isl").agg(
+    merged = flagged.groupBy("ver", *payload, "_isl").agg(
         F.min("lo").alias("lo"),
         F.max("hi").alias("hi"),
-        *[F.first(c).alias(c) for c in payload],
         F.max(order).alias(order),
     )
     return merged.select("ver", "lo", "hi", *payload, order)
