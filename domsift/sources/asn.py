@@ -17,13 +17,16 @@ def read_asn_ranges(spark: SparkSession, path: str) -> DataFrame:
     are parsed; a short row or a bad address fails the whole load.
     ``row_ord`` is the file order (later rows overwrite earlier overlaps).
     """
-    raw = (
-        spark.read.option("sep", "\t")
-        .option("header", "false")
-        .option("mode", "FAILFAST")
-        .option("enforceSchema", "true")
-        .schema(ASN_TSV_SCHEMA + ", _extra STRING")
-        .csv(path)
+    lines = spark.read.text(path).where(F.length("value") > 0)
+    f = F.split(F.col("value"), "\t")
+    raw = lines.select(
+        F.when(F.size(f) != 5, F.raise_error(F.concat(F.lit("ASN rows need 5 tab-separated fields: "), F.col("value"))))
+        .otherwise(f.getItem(0))
+        .alias("start_ip"),
+        f.getItem(1).alias("end_ip"),
+        f.getItem(2).cast("bigint").alias("asn"),
+        f.getItem(3).alias("country"),
+        f.getItem(4).alias("description"),
     )
     return asn_ranges_from_rows(raw.withColumn("row_ord", F.monotonically_increasing_id()))
 
