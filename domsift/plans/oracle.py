@@ -312,4 +312,17 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT ak.event_id, ak.domain, array_to_string(ak.source_tag, ',') AS tags, ak.base_domain, "
         f"{RFC3339.replace('seen_at', 'ak.seen_at')} AS ts_text FROM rec JOIN ak USING (event_id)"
     )
+    q["union_alerts"] = with_(*base, _alerts(False)) + (
+        "SELECT 'feed' AS source, event_id, domain, false AS resolved_after_nxdomain, array_to_string(source_tag, ',') AS tags "
+        "FROM alerts UNION ALL SELECT 'dns', event_id, domain, true, 'first-resolution' FROM ("
+        "SELECT *, lag(status) OVER (PARTITION BY domain ORDER BY observed_at, event_id) AS prev FROM dnss) "
+        "WHERE status = 'success' AND prev = 'nxdomain'"
+    )
+    counts = with_(*base, _alerts(True), e2e_keyed, _suppress("ak", 86400)).replace("WITH ", "WITH RECURSIVE ", 1)
+    q["pipeline_counts"] = counts + (
+        "SELECT 'ingested' AS stage, count(*)::BIGINT AS n FROM feed UNION ALL "
+        "SELECT 'kept', count(*)::BIGINT FROM fz UNION ALL "
+        "SELECT 'alerts', count(*)::BIGINT FROM alerts UNION ALL "
+        "SELECT 'passed', count(*)::BIGINT FROM rec"
+    )
     return q

@@ -311,6 +311,33 @@ def q_pipeline_end_to_end(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def q_union_alerts(spark: SparkSession, d: str) -> DataFrame:
+    from domsift.operators.alerts import union_alerts
+
+    std = _alerts(spark, d).select(
+        F.lit("feed").alias("source"), "event_id", "domain", "resolved_after_nxdomain",
+        F.array_join("source_tag", ",").alias("tags"),
+    )
+    fr = dns.first_resolution(_obs_status(spark, d), order="event_id").where("resolved_after_nxdomain").select(
+        F.lit("dns").alias("source"), "event_id", "domain", "resolved_after_nxdomain", F.lit("first-resolution").alias("tags")
+    )
+    return union_alerts(std, fr)
+
+
+def q_pipeline_counts(spark: SparkSession, d: str) -> DataFrame:
+    f = tables.feed(spark, d)
+    rs = enriched_rules()
+    kept = rules.ignore_filter(f, rs.ignore)
+    alerts = detect(f, _enriched_snapshot(spark, d), rs, tables.suffix_rules(spark), ttl_seconds=None, apply_ignore=True)
+    passed = q_pipeline_end_to_end(spark, d)
+    parts = metrics.pipeline_counts(f, kept=kept, alerts=alerts, passed=passed)
+    out = None
+    for stage, df in parts.items():
+        one = df.select(F.lit(stage).alias("stage"), F.col("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "feed_parse": q_feed_parse,
     "feed_ignore": q_feed_ignore,
@@ -340,4 +367,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "alert_json": q_alert_json,
     "digest_text": q_digest_text,
     "pipeline_end_to_end": q_pipeline_end_to_end,
+    "union_alerts": q_union_alerts,
+    "pipeline_counts": q_pipeline_counts,
 }
