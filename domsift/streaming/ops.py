@@ -125,3 +125,115 @@ def with_rules_reload(load_rules: Callable[[], rules_mod.RuleSet], sink: Callabl
         sink(rules_mod.match_rules(batch, rs), epoch)
 
     return run
+
+
+class _NxWatchProcessor(StatefulProcessor):
+    """Per name: remember the first NXDOMAIN of a run and follow its re-checks.
+
+    State holds the miss time (ms).  Each later observation is matched to the
+    re-check it answers (the latest due time at or before it); a success
+    resolves the run, another non-NXDOMAIN outcome gives up, and an event-time
+    timer at the last due time gives up when no answer came."""
+
+    def __init__(self, offsets_ms: list[int], ts: str, status: str, order: str | None):
+        self.offsets = offsets_ms
+        self.ts = ts
+        self.status = status
+        self.order = order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.miss = handle.getValueState(
+            "miss_ms", T.StructType([T.StructField("t", T.LongType()), T.StructField("answered", T.IntegerType())])
+        )
+
+    def _emit(self, key, miss_ms, outcome, attempt, at_ms):
+        return pd.DataFrame(
+            {
+                "domain": [key[0]],
+                "miss_at": [pd.Timestamp(miss_ms, unit="ms", tz="UTC")],
+                "outcome": [outcome],
+                "attempt": [attempt],
+                "resolved_at": [pd.Timestamp(at_ms, unit="ms", tz="UTC") if at_ms is not None else None],
+            }
+        )
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True)
+        ms = pd.to_datetime(pdf[self.ts], utc=True).astype("int64") // 1_000_000
+        pdf = pdf.assign(_ms=ms.values).sort_values(["_ms"] + ([self.order] if self.order else []), kind="stable")
+        state = self.miss.get() if self.miss.exists() else None
+        out = []
+        for t, st in zip(pdf["_ms"].tolist(), pdf[self.status].tolist()):
+            if state is None:
+                if st == "nxdomain":
+                    state = (t, 0)
+                    self.handle.registerTimer(t + self.offsets[-1] + 1)
+                continue
+            miss, answered = state
+            due = [i for i, o in enumerate(self.offsets) if miss + o <= t]
+            if len(due) <= answered:
+                continue  # not a re-check answer (before the next due time)
+            attempt = answered + 1
+            if st == "nxdomain":
+                state = (miss, len(due)) if len(due) < len(self.offsets) else None
+                if state is None:
+                    out.append(self._emit(key, miss, "gave_up", None, None))
+                continue
+            out.append(self._emit(key, miss, "resolved" if st == "success" else "gave_up",
+                                  attempt if st == "success" else None, t if st == "success" else None))
+            state = None
+        if state is None:
+            if self.miss.exists():
+                self.miss.clear()
+            for old in self.handle.listTimers():
+                self.handle.deleteTimer(old)
+        else:
+            self.miss.update((int(state[0]), int(state[1])))
+        if out:
+            yield pd.concat(out, ignore_index=True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.miss.exists():
+            miss, _ = self.miss.get()
+            self.miss.clear()
+            yield self._emit(key, miss, "gave_up", None, None)
+
+    def close(self) -> None:
+        pass
+
+
+NX_WATCH_SCHEMA = T.StructType(
+    [
+        T.StructField("domain", T.StringType()),
+        T.StructField("miss_at", T.TimestampType()),
+        T.StructField("outcome", T.StringType()),
+        T.StructField("attempt", T.LongType()),
+        T.StructField("resolved_at", T.TimestampType()),
+    ]
+)
+
+
+def nxdomain_watch_stream(
+    obs: DataFrame,
+    domain: str = "domain",
+    ts: str = "observed_at",
+    status: str = "status",
+    cfg=None,
+    order: str | None = None,
+    watermark: str = "1 minute",
+) -> DataFrame:
+    """Streaming twin of ``retry_outcome``: one row per NXDOMAIN run once it is decided."""
+    from domsift.operators.dns import RetryConfig, nxdomain_offsets_s
+
+    offsets = [int(round(s * 1000)) for s in nxdomain_offsets_s(cfg or RetryConfig())]
+    return (
+        obs.withWatermark(ts, watermark)
+        .groupBy(domain)
+        .transformWithStateInPandas(
+            statefulProcessor=_NxWatchProcessor(offsets, ts, status, order),
+            outputStructType=NX_WATCH_SCHEMA,
+            outputMode="Append",
+            timeMode="EventTime",
+        )
+    )

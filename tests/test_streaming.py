@@ -47,3 +47,22 @@ def test_inflight_and_digest_window(spark):
     dig = _run(spark, digest_window_stream(src2, "timestamp", 300, "1 minute", order="id"), "digest1")
     counts = sorted((r.alert.domain, r.deduplicated_count) for r in dig.collect())
     assert ("a.com", 4) in counts and ("b.com", 4) in counts
+
+
+def test_nxdomain_watch_stream_equals_batch(spark):
+    from domsift.operators.dns import retry_outcome
+    from domsift.streaming.ops import nxdomain_watch_stream
+
+    s = lambda x: T0 + dt.timedelta(seconds=x)
+    rows = [
+        (1, "newly-active.com", s(0), "nxdomain"), (2, "newly-active.com", s(12), "success"),
+        (3, "gone.com", s(0), "nxdomain"), (4, "gone.com", s(11), "nxdomain"), (5, "gone.com", s(31), "nxdomain"),
+        (6, "gone.com", s(80), "failure"),
+        (7, "late.com", s(0), "nxdomain"), (8, "late.com", s(40), "nxdomain"), (9, "late.com", s(200), "success"),
+        (10, "zzz.com", s(5000), "success"),  # moves the watermark
+    ]
+    d, schema = _write_parts(spark, rows, "id INT, domain STRING, observed_at TIMESTAMP, status STRING", 1)
+    src = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(d)
+    got = {(r.domain, r.outcome, r.attempt) for r in _run(spark, nxdomain_watch_stream(src, order="id"), "nxw1").collect()}
+    want = {(r.domain, r.outcome, r.attempt) for r in retry_outcome(spark.createDataFrame(rows, schema), order="id").collect()}
+    assert got == want
