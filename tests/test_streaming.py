@@ -66,3 +66,19 @@ def test_nxdomain_watch_stream_equals_batch(spark):
     got = {(r.domain, r.outcome, r.attempt) for r in _run(spark, nxdomain_watch_stream(src, order="id"), "nxw1").collect()}
     want = {(r.domain, r.outcome, r.attempt) for r in retry_outcome(spark.createDataFrame(rows, schema), order="id").collect()}
     assert got == want
+
+
+def test_digest_flush_stream_size_and_tick(spark):
+    from domsift.streaming.ops import digest_flush_stream
+
+    s = lambda x: T0 + dt.timedelta(seconds=x)
+    # size 2: example.com, sub (same group), another.com -> one batch of two groups
+    rows = [(1, "c", "example.com", s(0)), (2, "c", "example.com", s(1)), (3, "c", "another.com", s(2)),
+            (4, "c", "lone.com", s(10)),  # alone until the tick at 300 s after the size flush (2 + 300)
+            (5, "c", "later.com", s(900))]  # moves the watermark
+    d, schema = _write_parts(spark, rows, "id INT, channel STRING, g STRING, timestamp TIMESTAMP", 1)
+    src = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(d)
+    out = _run(spark, digest_flush_stream(src, "channel", "g", "timestamp", 300, 2, order="id"), "dflush1")
+    got = sorted((r.batch, tuple(r.groups), tuple(r.deduplicated)) for r in out.collect())
+    assert got[0] == (0, ("example.com", "another.com"), (1, 0))
+    assert got[1] == (1, ("lone.com",), (0,))
