@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from domsift.llm import chat_format, token_counts, url_filter
+from domsift.llm import chat_format, packing, token_counts, url_filter
 from domsift.llm.common import table
 
 QUERIES = {}
@@ -78,3 +78,8 @@ FROM whole
 @query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
