@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domsift.llm import chat_format, packing, token_counts, toxicity, url_filter
+from domsift.llm import chat_format, jaccard, packing, token_counts, toxicity, url_filter
 from domsift.llm.common import table
 
 QUERIES = {}
@@ -91,3 +91,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).withColumn("n_passages", F.size("passages")).drop("passages")
+
+
+@query
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
