@@ -148,7 +148,7 @@ def write(
         def close() -> pa.RecordBatch:
             data = buffer.getvalue()
             name = f"shard-{state['shard']:06d}-{state['roll']:05d}.warc.gz"
-            with store.open_output_stream(f"{attempt}/{name}") as out:
+            with store.open_output_stream(f"{attempt}/{name}", compression=None) as out:
                 out.write(data)
             line = {
                 "name": name,
