@@ -22,7 +22,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -134,14 +133,16 @@ def pack(df: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", **toke
     # by place in the written table: also a row that repeats without end is dealt over all shards
     dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop(columns="_shard").assign(_back=-group["length"])
-        group = group.sort_values(["_back", id_col, "piece", "ids_crc32"], kind="stable", ignore_index=True)
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.drop_columns("_shard")
+        order = [("length", "descending"), (id_col, "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]
+        group = group.sort_by(order)
         bins, offsets = sum_of_squares(group["length"].to_numpy(), capacity)
-        return group.drop(columns="_back").assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
+        sequence = pa.array((key[0].as_py() << 32) + bins, pa.int64())
+        return group.append_column("sequence_id", sequence).append_column("offset", pa.array(offsets, pa.int64()))
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return dealt.groupBy("_shard").applyInPandas(run, f"{columns}, sequence_id long, offset long")
+    return dealt.groupBy("_shard").applyInArrow(run, f"{columns}, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
