@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domsift.llm import chat_format, decontaminate, jaccard, packing, token_counts, topk, toxicity, url_filter, warc
+from domsift.llm import chat_format, decontaminate, html_extract, jaccard, packing, token_counts, topk, toxicity, url_filter, warc
 from domsift.llm.common import shared_path, table
 
 QUERIES = {}
@@ -141,3 +141,8 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 @query
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
