@@ -232,10 +232,9 @@ def matches(text: str, index: Index, terms: _Terms, threshold: float = THRESHOLD
     return [(i, score, q, r, -a) for i, (_, score, a, q, r) in sorted(best.items())]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap, passage_start) of every text that holds an item."""
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start int"
-    spark = docs.sparkSession
+def _indexes(benchmark: DataFrame) -> Iterator:
+    """Broadcast indexes of the benchmark's parts, each of a bounded size."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").distinct()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,30 +246,46 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
     terms = items.select("text").mapInArrow(cut, "n long, terms array<string>")
     n_items, chars = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    if not n_items:
-        return spark.createDataFrame([], schema)
     mean_words = terms.agg(F.avg("n")).first()[0]
     passes = max(-(-n_items // PASS_ITEMS), -(-chars // PASS_CHARS))
     frequency = terms.select(F.explode("terms").alias("term")).groupBy("term").count()
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    found = None
     for p in range(passes):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p)
         rows = sorted((r.item_id, r.text) for r in part.collect())
         known = part.select("text").mapInArrow(cut, "n long, terms array<string>").select(F.explode("terms").alias("term")).distinct()
         counts = dict(frequency.join(known, "term", "left_semi").collect())
-        shared = spark.sparkContext.broadcast(Index(rows, n_items, mean_words, counts))
+        yield spark.sparkContext.broadcast(Index(rows, n_items, mean_words, counts))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, item_id, score, question_overlap, answer_overlap, passage_start) of every text that holds an item."""
+    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start int"
+    found = docs.sparkSession.createDataFrame([], schema)
+    for shared in _indexes(benchmark):
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            numbers = _Terms(index.term)
+            numbers = _Terms(shared.value.term)
             for batch in batches:
-                out = [(d.as_py(), *m) for d, t in zip(*batch.columns) if t.is_valid for m in matches(t.as_py(), index, numbers, threshold)]
+                out = [(d.as_py(), *m) for d, t in zip(*batch.columns) for m in matches(t.as_py() or "", shared.value, numbers, threshold)]
                 if out:
                     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32()]
                     names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "passage_start"]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-        here = texts.mapInArrow(search, schema)
-        found = here if found is None else found.unionByName(here)
+        found = found.unionByName(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(search, schema))
     return found
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, with all their columns."""
+    at = docs.columns.index("text")
+    for shared in _indexes(benchmark):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            numbers = _Terms(shared.value.term)
+            for batch in batches:
+                clean = [not matches(t.as_py() or "", shared.value, numbers, threshold) for t in batch.column(at)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

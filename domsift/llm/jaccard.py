@@ -295,3 +295,21 @@ def _compare(docs: DataFrame, members: DataFrame, threshold: float, n: int) -> D
     return links.join(classes, links["rep"] == classes["node"], "left").select(
         "rep", F.coalesce("label", "rep").alias("class_id"), "links"
     )
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
+    """``docs`` with one document of each class, that of the smallest doc_id, with all its columns.
+
+    Rows without a doc_id stay. A doc_id on several rows stays if any of them is
+    its class's first; its rows of equal text then become one.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), threshold, n).where("doc_id is not null")
+    by_id = written(
+        found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.max(F.col("class_id") == F.col("doc_id")).alias("_first")).where("_rows > 1 or not _first"),
+        "not-single",
+    )
+    single = docs.join(by_id.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    again = by_id.where("_first").select("doc_id")
+    if again.isEmpty():
+        return single
+    return single.unionByName(docs.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))

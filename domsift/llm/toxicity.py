@@ -229,3 +229,22 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     probability = 1 / (1 + F.exp(-(F.lit(model.intercept) + F.lit(model.slope) * F.col("evidence"))))
     out = scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), probability.alias("score"), "n_tokens", passages.alias("passages"))
     return out.select(id_col, "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_tokens", "passages")
+
+
+def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``score`` does not predict as toxic, with all their columns."""
+    if model is None:
+        return docs
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _Scores(model)
+        for batch in batches:
+            clean = []
+            for value in batch.column(at):
+                chunks = (value.as_py() or "").lower().split()
+                segments = maximal_segments(np.fromiter(map(scores.__getitem__, chunks), dtype=np.float64, count=len(chunks)))
+                clean.append(model.intercept + model.slope * _evidence(segments, len(chunks), model.lam, model.k) < 0)
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
