@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from domsift.llm.common import written
 
 SCALE = 256
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16384
 QUERY_ROWS = 256
 LEVEL_BITS = 4
 #: Members that are left for exact scoring, at most, when a block is given up early.
