@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -49,6 +50,22 @@ def load(path: str):
     return _LOADED[path]
 
 
+def _byte_letters(word: str) -> str:
+    if word.isascii() and word.isprintable():
+        return word
+    return word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+
+
+def _plain_words(chunk: str) -> list[str]:
+    """Words of a lower-case chunk of a plain text, in byte letters."""
+    if chunk.isascii():
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[:-1].isalpha() and chunk[-1].isprintable():
+            return [chunk[:-1], chunk[-1]]
+    return [_byte_letters(w) for w in _LATIN_WORDS.findall(chunk)]
+
+
 class _Bounded(dict):
     """A dictionary that computes what it misses and never outgrows its limit."""
 
@@ -98,19 +115,39 @@ class _Chunks:
             at += len(piece)
         return out
 
+    def words(self, chunk: str) -> list[tuple[str, int, int]]:
+        """(word in byte letters, start, end) as the library cuts the chunk."""
+        if self.plain(chunk) and chunk == chunk.lower():
+            return [(_byte_letters(m[0]), *m.span()) for m in _LATIN_WORDS.finditer(chunk)]
+        from tokenizers import PreTokenizedString
+
+        cut = PreTokenizedString(chunk)
+        cut.normalize(self.tokenizer.normalizer.normalize)
+        self.tokenizer.pre_tokenizer.pre_tokenize(cut)
+        return [(w, a, b) for w, (a, b), _ in cut.get_splits(offset_referential="original", offset_type="char")]
+
 
 class WordIds(_Chunks):
     """Ids of whole texts, as the library gives them, as little-endian uint32 bytes."""
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.of_chunk = _Bounded(self._encode)
+        self.of_word = _Bounded(self._word)
+        self.of_chunk = _Bounded(self._chunk)
+        self.of_plain = _Bounded(lambda chunk: b"".join([self.of_word[w] for w in _plain_words(chunk)]))
+
+    def _word(self, word: str) -> bytes:
+        ids = [t.id for t in self.tokenizer.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _encode(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk in self.special:
+            return np.array([self.tokenizer.token_to_id(chunk)], dtype="<u4").tobytes()
+        return b"".join([self.of_word[w] for w, _, _ in self.words(chunk)])
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.of_chunk.__getitem__, self.chunks(text)))
+        of = self.of_plain if self.plain(text) else self.of_chunk
+        return b"".join(map(of.__getitem__, self.chunks(text)))
 
 
 class PrefixCounts(_Chunks):
@@ -137,6 +174,7 @@ class PrefixCounts(_Chunks):
         self.open = _Bounded(lambda w: self._step(w, closed=False))
         self.of_word = _Bounded(lambda w: self._word(w, [len(w)])[0])
         self.of_chunk = _Bounded(self._chunk)
+        self.of_plain = _Bounded(lambda chunk: sum([self.of_word[w] for w in _plain_words(chunk)]))
 
     # -- inside a word; words are in the model's byte letters -----------------
     def _merge(self, text: str, closed: bool) -> list[str]:
@@ -191,20 +229,6 @@ class PrefixCounts(_Chunks):
         raise ValueError(f"no encoding of {word[:i]!r}")
 
     # -- inside a chunk --------------------------------------------------------
-    def words(self, chunk: str) -> list[tuple[str, int, int]]:
-        """(word in byte letters, start, end) as the library cuts the chunk."""
-        if self.plain(chunk) and chunk == chunk.lower():
-            return [
-                (m[0] if m[0].isascii() and m[0].isprintable() else m[0].encode().decode("latin-1").translate(_BYTE_LETTERS), *m.span())
-                for m in _LATIN_WORDS.finditer(chunk)
-            ]
-        from tokenizers import PreTokenizedString
-
-        cut = PreTokenizedString(chunk)
-        cut.normalize(self.tokenizer.normalizer.normalize)
-        self.tokenizer.pre_tokenizer.pre_tokenize(cut)
-        return [(w, a, b) for w, (a, b), _ in cut.get_splits(offset_referential="original", offset_type="char")]
-
     def _chunk(self, chunk: str) -> int:
         if chunk in self.special:
             return 1
@@ -227,7 +251,8 @@ class PrefixCounts(_Chunks):
     # -- the whole text --------------------------------------------------------
     def store(self, text: str) -> np.ndarray:
         """Token counts at the end of each chunk."""
-        return np.cumsum(np.fromiter(map(self.of_chunk.__getitem__, self.chunks(text)), dtype=np.int64))
+        of = self.of_plain if self.plain(text) else self.of_chunk
+        return np.cumsum(np.fromiter(map(of.__getitem__, self.chunks(text)), dtype=np.int64))
 
     def at(self, text: str, store: np.ndarray, end: int) -> int:
         """Token count of ``text[:end]``."""
