@@ -11,6 +11,14 @@ from __future__ import annotations
 import re
 
 
+_POSIX_CLASS = re.compile(r"\[:(\^?)([a-z]+):\]")
+# POSIX class names and what java.util.regex calls them
+_POSIX = {
+    "alnum": "Alnum", "alpha": "Alpha", "ascii": "ASCII", "blank": "Blank", "cntrl": "Cntrl", "digit": "Digit", "graph": "Graph",
+    "lower": "Lower", "print": "Print", "punct": "Punct", "space": "Space", "upper": "Upper", "xdigit": "XDigit",
+}
+
+
 class PatternError(ValueError):
     """A rule or ignore pattern that does not compile."""
 
@@ -33,6 +41,14 @@ def to_java_regex(pattern: str) -> str:
             i += 2
             continue
         if in_class:
+            posix = _POSIX_CLASS.match(pattern, i)
+            if posix:
+                java = _POSIX.get(posix[2])
+                if java is None:
+                    raise PatternError(f"unknown class {posix[0]} in {pattern!r}")
+                out.append(("\\P" if posix[1] else "\\p") + "{" + java + "}")
+                i = posix.end()
+                continue
             if ch == "[":
                 # a nested '[' inside a class is literal in RE2; Java would open a union
                 out.append("\\[")
@@ -87,7 +103,12 @@ def check_pattern(spark, pattern: str) -> str:
 
 
 def check_pattern_local(pattern: str) -> str:
-    """Driver-only check without a session (Python ``re`` as a close stand-in)."""
+    """The Java form, compiled once by the active session's JVM; without one, by Python's ``re`` as a stand-in."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        return check_pattern(spark, pattern)
     java = to_java_regex(pattern)
     py = java[4:].replace("\\z", r"\Z").replace("(?<", "(?P<")
     try:

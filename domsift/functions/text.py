@@ -52,7 +52,7 @@ def _template(tpl: str, **parts: Column) -> Column:
 
 def rfc3339(ts: Column | str) -> Column:
     """UTC timestamp text with a +00:00 offset and 0/3/6 fraction digits."""
-    t = _c(ts)
+    t = F.to_utc_timestamp(_c(ts), F.current_timezone())  # printed by the session's clock
     frac = F.date_format(t, "SSSSSS")
     frac_txt = (
         F.when(frac == "000000", F.lit(""))
@@ -121,7 +121,7 @@ def format_plain(
         F.lit(", "),
         entry.getField("as_number").cast("string"),
         F.lit(", "),
-        entry.getField("as_name"),
+        F.coalesce(entry.getField("as_name"), F.lit("")),
         F.lit("]"),
     )
     details = (
@@ -186,7 +186,7 @@ def format_digest_line(
                 F.lit(" @ "),
                 first_e.getField("as_number").cast("string"),
                 F.lit("/"),
-                first_e.getField("as_name"),
+                F.coalesce(first_e.getField("as_name"), F.lit("")),
                 F.lit(", "),
                 F.coalesce(first_e.getField("country_code"), F.lit(NO_COUNTRY)),
             ),

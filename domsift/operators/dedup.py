@@ -63,7 +63,9 @@ def _greedy(ttl_us: int):
             for k, t in zip(pdf["_k"].tolist(), pdf["_t"].tolist()):
                 if k != cur_key:
                     cur_key, last = k, None
-                if last is None or t >= last + ttl_us:
+                if t != t or t is None:  # without a time: passes, holds nothing back
+                    passed.append(True)
+                elif last is None or t >= last + ttl_us:
                     last = t
                     passed.append(True)
                 else:
@@ -89,7 +91,8 @@ def suppress_repeats(
     partitioned by key, sorted by ``(key, ts, order)`` inside each partition
     and scanned by a vectorised iterator that keeps only the current key's
     last passed time: memory is O(1) per task whatever a key's size, and the
-    scan streams Arrow batches.  Expiry at exactly ``ttl`` passes.
+    scan streams Arrow batches.  Expiry at exactly ``ttl`` passes.  A row
+    without a time passes and holds nothing back.
     """
     ttl_us = int(round(ttl_seconds * 1_000_000))
     tie = [order] if order else []

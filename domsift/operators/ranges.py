@@ -92,6 +92,11 @@ def _probes(ver: Column, key: Column) -> Column:
     )
 
 
+def _before(key: Column, like: Column) -> Column:
+    """The address before ``key``, which may be the place past the last address."""
+    return F.when(F.length(key) > F.length(like), F.substring(key, 1, F.length(like))).otherwise(key_pred(key))
+
+
 def normalise_ranges(ranges: DataFrame, payload: tuple[str, ...] = PAYLOAD, order: str = "row_ord") -> DataFrame:
     """Overlapping ranges -> disjoint ranges where later rows win.
 
@@ -108,11 +113,12 @@ def normalise_ranges(ranges: DataFrame, payload: tuple[str, ...] = PAYLOAD, orde
     pieces = pieces.withColumn("coarse", _coarse(F.col("ver"), F.col("lo")))
     part = ["ver", "coarse"]
     bounds = pieces.select(*part, F.col("lo").alias("p")).unionByName(
-        pieces.select(*part, key_succ(F.col("hi")).alias("p"))
+        # past the last address: one byte longer than any key, so it sorts behind all of them
+        pieces.select(*part, F.coalesce(key_succ(F.col("hi")), F.concat(F.col("hi"), F.lit(b"\x00"))).alias("p"))
     )
     bounds = bounds.where(F.col("p").isNotNull()).distinct()
     w = Window.partitionBy(*part).orderBy("p")
-    segs = bounds.select(*part, F.col("p").alias("slo"), key_pred(F.lead("p").over(w)).alias("shi")).where(
+    segs = bounds.select(*part, F.col("p").alias("slo"), _before(F.lead("p").over(w), F.col("p")).alias("shi")).where(
         F.col("shi").isNotNull()
     )
     probes = segs.select("*", F.explode(_probes(F.col("ver"), F.col("slo"))).alias("_p"))
@@ -245,13 +251,14 @@ def enrich_dns_table(
     """
     ips = F.concat(F.coalesce(F.col(a), F.array().cast("array<string>")), F.coalesce(F.col(aaaa), F.array().cast("array<string>")))
     others = [c for c in dns.columns if c not in row_keys]
-    exploded = dns.select("*", F.posexplode_outer(ips).alias("pos", "ip"))
+    # rows of equal keys stay rows of their own
+    exploded = dns.withColumn("_row", F.monotonically_increasing_id()).select("*", F.posexplode_outer(ips).alias("pos", "ip"))
     enriched = enrich_ips(exploded, ranges, "ip", PAYLOAD, normalised, broadcast)
     entry = F.when(
         F.col("pos").isNotNull(),
         F.struct(F.col("pos"), F.col("ip"), F.col("as_number"), F.col("as_name"), F.col("country_code")),
     )
-    nested = enriched.groupBy(*row_keys).agg(
+    nested = enriched.groupBy(*row_keys, "_row").agg(
         *[F.first(c).alias(c) for c in others],
         F.array_sort(F.collect_list(entry)).alias("_e"),
     )

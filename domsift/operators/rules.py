@@ -119,7 +119,7 @@ def context(
 
 def _regex(pattern: str, ctx: RuleContext) -> Column:
     try:
-        java = check_pattern_local(pattern) if ctx.strict else to_java_regex(pattern)
+        java = check_pattern_local(pattern)
     except PatternError:
         if ctx.strict:
             raise
@@ -257,32 +257,31 @@ def match_rules_table(
     df: DataFrame,
     rules_df: DataFrame,
     domain: str = "domain",
-    max_broadcast_rules: int = 50_000,
+    rules_per_column: int = 200,
 ) -> DataFrame:
-    """Theta join of names with a rules *table* (name-only rules).
+    """Names matched with a rules *table* of whole rule trees (name-only rules).
 
     Returns one row per (input row, matching rule): the input columns plus
-    ``rule_name`` and ``rule_ord``.  The rules side is broadcast; its row
-    count is checked first and, past ``max_broadcast_rules``, the rules are
-    split into bounded chunks that are each broadcast and unioned, so no
-    cartesian product over the big side is ever planned.
+    ``rule_name`` and ``rule_ord``.  The table is configuration: its trees are
+    read once and compiled to expressions, ``rules_per_column`` to an array
+    column, so the names are scanned once and no pattern is compiled per row.
+    A rule that needs DNS or ASN data raises ``ValueError``; none is left out.
     """
-    pats = rules_df.where(F.col("pattern").isNotNull()).select(
-        F.col("name").alias("rule_name"),
-        (F.col("file").cast("string").alias("_f")),
-        F.col("ord").alias("rule_ord"),
-        F.col("pattern").alias("_pattern"),
-    )
-    n = pats.count()
-    chunks = max(1, -(-n // max_broadcast_rules))
-    parts = []
-    for i in range(chunks):
-        side = pats if chunks == 1 else pats.where(F.pmod(F.xxhash64("rule_name", "rule_ord"), F.lit(chunks)) == i)
-        parts.append(df.join(F.broadcast(side), F.expr(f"{domain} rlike _pattern")))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res.drop("_pattern", "_f")
+    import json
+
+    ctx = RuleContext(F.col(domain), F.array(), F.array())
+    found = []
+    for r in rules_df.select("file", "ord", "name", "expr_json").orderBy("file", "ord").collect():
+        expr = Expr.parse(json.loads(r.expr_json))
+        if expr.level() > NONE:
+            raise ValueError(f"rule {r.name!r} needs more than the name; use match_rules")
+        hit = F.struct(F.lit(r.name).alias("rule_name"), F.lit(r.ord).alias("rule_ord"))
+        found.append(F.when(compile_expr(expr, ctx), hit))
+    if not found:
+        return df.where(F.lit(False)).withColumns({"rule_name": F.lit(""), "rule_ord": F.lit(0)})
+    parts = [F.array_compact(F.array(*found[i : i + rules_per_column])) for i in range(0, len(found), rules_per_column)]
+    hits = parts[0] if len(parts) == 1 else F.concat(*parts)
+    return df.select("*", F.explode(hits).alias("_hit")).select(*df.columns, "_hit.rule_name", "_hit.rule_ord")
 
 
 def rule_match_counts(df: DataFrame, tags: str = "source_tag") -> DataFrame:
@@ -296,13 +295,7 @@ def rule_match_counts(df: DataFrame, tags: str = "source_tag") -> DataFrame:
 
 def rule_file_stats(rules_df: DataFrame) -> DataFrame:
     """Rules per file, plus the totals as a ``(file, rules, total_rules, total_files)`` table."""
-    from pyspark.sql import Window
-
     per_file = rules_df.groupBy("file").agg(F.count(F.lit(1)).cast("bigint").alias("rules"))
-    everything = Window.partitionBy()  # one row per rule file: tiny by construction
-    return per_file.select(
-        "file",
-        "rules",
-        F.sum("rules").over(everything).cast("bigint").alias("total_rules"),
-        F.count(F.lit(1)).over(everything).cast("bigint").alias("total_files"),
-    )
+    # one row, by two partial aggregates
+    totals = per_file.agg(F.sum("rules").cast("bigint").alias("total_rules"), F.count(F.lit(1)).cast("bigint").alias("total_files"))
+    return per_file.crossJoin(F.broadcast(totals)).select("file", "rules", "total_rules", "total_files")

@@ -166,7 +166,9 @@ def oracle_sql() -> dict[str, str]:
     q["match_rules_table"] = with_(HOSTS, FEED) + (
         r"SELECT event_id, 'blog' AS rule_name FROM feed WHERE regexp_matches(domain, '^blog\.') UNION ALL "
         r"SELECT event_id, 'pharma' FROM feed WHERE regexp_matches(domain, 'pills|pharma') UNION ALL "
-        r"SELECT event_id, 'spam' FROM feed WHERE regexp_matches(domain, 'spam')"
+        r"SELECT event_id, 'spam' FROM feed WHERE regexp_matches(domain, 'spam') UNION ALL "
+        r"SELECT event_id, 'mobile' FROM feed WHERE regexp_matches(domain, '^m\.') OR regexp_matches(domain, '^mobile\.') UNION ALL "
+        r"SELECT event_id, 'th-net' FROM feed WHERE regexp_matches(domain, '\.net$') AND regexp_matches(domain, '^(www\.)?th')"
     )
     q["ignored_names"] = with_(HOSTS, FEED) + (
         "SELECT event_id, domain FROM feed WHERE domain NOT IN (SELECT domain FROM hosts WHERE starts_with(domain, 'www.'))"

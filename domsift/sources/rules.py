@@ -56,7 +56,7 @@ def pattern_lines(df: DataFrame, source: str, text: str) -> DataFrame:
         F.col(source).cast("string").alias("name"),
         F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"),
     )
-    trimmed = lines.select("name", (F.col("pos") + 1).alias("line_no"), F.trim(F.col("line")).alias("pattern"))
+    trimmed = lines.select("name", (F.col("pos") + 1).alias("line_no"), F.regexp_replace("line", r"^\s+|\s+$", "").alias("pattern"))
     return trimmed.where((F.col("pattern") != "") & ~F.col("pattern").startswith("#"))
 
 

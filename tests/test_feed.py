@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from domsift.functions.text import rfc3339
+from domsift.sources.rules import pattern_lines
 from domsift.operators.feed import ignored_names, sample_feed, sample_repeatable
 from domsift.sources.feed import parse_messages
 
@@ -44,3 +46,26 @@ def test_exact_name_lists(spark):
     deny = spark.createDataFrame([("b.com",)], "name STRING")
     assert sorted(r.domain for r in ignored_names(df, deny).collect()) == ["a.com", "c.com"]
     assert [r.domain for r in ignored_names(df, deny, allow=True).collect()] == ["b.com"]
+
+
+def test_sampling_small_rates_and_large_ids(spark):
+    df = spark.range(1_000_000)
+    assert sample_repeatable(df, "id", 0.0001).count() == 100
+    assert sample_repeatable(df, "id", 0.0015).count() == 1500
+    sample_repeatable(spark.range(10).selectExpr("xxhash64(id) AS id"), "id", 0.5).count()
+
+
+def test_rule_lines_are_trimmed_of_all_white_space(spark):
+    df = spark.createDataFrame([("f", "evil\\.test\r\n\t#note\n\r\n \tpay$\t\r\n")], "name STRING, text STRING")
+    assert [(r.line_no, r.pattern) for r in pattern_lines(df, "name", "text").orderBy("line_no").collect()] == [(1, "evil\\.test"), (4, "pay$")]
+
+
+def test_time_text_is_utc_in_any_session_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = spark.sql("SELECT timestamp_seconds(1704067200) AS t").select(rfc3339("t").alias("x")).first().x
+            assert got == "2024-01-01T00:00:00+00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

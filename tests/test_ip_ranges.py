@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from domsift.functions.ip import ip_key, ip_version
-from domsift.operators.ranges import enrich_ips, normalise_ranges
+from domsift.operators.ranges import enrich_dns_table, enrich_ips, normalise_ranges
 from domsift.sources.asn import asn_ranges_from_rows, read_asn_ranges
 
 TSV = [
@@ -81,3 +81,20 @@ def test_normalise_and_join_match_overwrite_order(spark):
     got = {r.ip: (r.as_number, r.as_name) if r.as_number is not None else None for r in enrich_ips(pts, ranges).collect()}
     for x in probes:
         assert got[str(ipaddress.ip_address(x))] == brute(x)
+
+
+def test_range_up_to_the_last_address(spark):
+    rows = [("f000::", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff", 64500, "TOP", "NO", 0), ("ff00::", "ff0f::", 64501, "MID", "SE", 1)]
+    raw = spark.createDataFrame(rows, "lo STRING, hi STRING, as_number BIGINT, as_name STRING, country_code STRING, row_ord BIGINT")
+    table = raw.select(F.lit(6).alias("ver"), ip_key(F.col("lo")).alias("lo"), ip_key(F.col("hi")).alias("hi"), "as_number", "as_name", "country_code", "row_ord")
+    points = spark.createDataFrame([("ff02::1",), ("ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff",), ("f000::",), ("efff::",)], "ip STRING")
+    got = {r.ip: r.as_number for r in enrich_ips(points, table, "ip").collect()}
+    assert got == {"ff02::1": 64501, "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff": 64500, "f000::": 64500, "efff::": None}
+
+
+def test_equal_dns_rows_stay_apart(spark):
+    rows = [("a.test", 1, ["192.0.2.1"], []), ("a.test", 1, ["192.0.2.2", "192.0.2.3"], [])]
+    dns = spark.createDataFrame(rows, "domain STRING, observed_at INT, a ARRAY<STRING>, aaaa ARRAY<STRING>")
+    none = spark.createDataFrame([], "ver INT, lo BINARY, hi BINARY, as_number BIGINT, as_name STRING, country_code STRING, row_ord BIGINT")
+    got = sorted([e.ip for e in r.enrichment] for r in enrich_dns_table(dns, none).collect())
+    assert got == [["192.0.2.1"], ["192.0.2.2", "192.0.2.3"]]
