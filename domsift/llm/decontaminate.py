@@ -176,7 +176,7 @@ class _Terms(dict):
     def __missing__(self, chunk: str) -> int:
         word = _EDGES.sub("", chunk)
         value = self.term.get(word, -1) if word else -2
-        if len(self) >= 400_000:
+        if len(self) >= 100_000:
             self.clear()
         if len(chunk) <= 64:
             self[chunk] = value

@@ -77,7 +77,7 @@ class _Scores(dict):
 
     def __missing__(self, chunk: str) -> float:
         score = max((self.model.positive.get(w, -self.model.drift) for w in _WORD.findall(chunk)), default=-self.model.drift)
-        if len(self) >= 400_000:
+        if len(self) >= 100_000:
             self.clear()
         if len(chunk) <= 64:
             self[chunk] = score

@@ -16,7 +16,7 @@ import struct
 import numpy as np
 
 #: Words remembered by one Python worker; beyond it the dictionary starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 # Among these characters lower-casing maps one character to one, composing
 # changes nothing, and Python's white space is the library's.
