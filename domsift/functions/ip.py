@@ -123,6 +123,11 @@ def ip_key(col: Column | str) -> Column:
     )
 
 
+def version_of_key(text: Column | str, key: Column | str) -> Column:
+    """4, 6 or null for an address whose ``ip_key`` is at hand (the text isn't parsed again)."""
+    return F.when(_c(key).isNull(), F.lit(None)).when(_c(text).contains(":"), F.lit(6)).otherwise(F.lit(4)).cast("tinyint")
+
+
 def key_from_ipv4_int(col: Column | str) -> Column:
     """BIGINT IPv4 number -> BINARY(16) key."""
     return F.unhex(F.lpad(F.hex(_c(col)), 32, "0"))
@@ -217,5 +222,7 @@ def ip_in_networks(ip_text: Column, networks: list[Network]) -> Column:
 
     return _let(
         ip_text,
-        lambda c: _let(F.struct(ip_version(c).alias("v"), ip_key(c).alias("k")), test),
+        lambda c: _let(
+            _let(ip_key(c), lambda k: F.struct(version_of_key(c, k).alias("v"), k.alias("k"))), test
+        ),
     )

@@ -38,7 +38,7 @@ def build_alerts(df: DataFrame, ts: str = "seen_at", first_resolution: str | Non
     aaaa = F.coalesce(F.col("aaaa"), F.array().cast("array<string>"))
     ns = F.coalesce(F.col("ns"), F.array().cast("array<string>"))
     fr = F.col(first_resolution) if first_resolution else F.lit(False)
-    keep = [c for c in df.columns if c not in ("a", "aaaa", "ns", "enrichment")]
+    keep = [c for c in df.columns if c not in ("a", "aaaa", "ns", "enrichment", first_resolution)]
     out = df.select(
         *keep,
         F.col(ts).alias("timestamp") if ts != "timestamp" else F.col(ts),

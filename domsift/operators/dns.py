@@ -63,20 +63,41 @@ def failure_rate(
     )
 
 
-def first_resolution(df: DataFrame, domain: str = "domain", ts: str = "observed_at", status: str = "status", order: str | None = None) -> DataFrame:
-    """Flag ``resolved_after_nxdomain``: a success whose previous observation was NXDOMAIN."""
-    w = Window.partitionBy(domain).orderBy(ts, *([order] if order else []))
-    prev = F.lag(F.col(status)).over(w)
-    flag = (F.col(status) == F.lit(SUCCESS)) & F.coalesce(prev == F.lit(NXDOMAIN), F.lit(False))
-    return df.withColumn("resolved_after_nxdomain", flag)
-
-
 def nxdomain_offsets_s(cfg: RetryConfig) -> list[float]:
     """Seconds after the first miss at which NXDOMAIN re-checks are due."""
     b = cfg.nxdomain_backoff_ms / 1000.0
     return [b * (2 ** (i + 1) - 1) for i in range(cfg.nxdomain_retries + 1)]
 
 
+def first_resolution(
+    df: DataFrame,
+    domain: str = "domain",
+    ts: str = "observed_at",
+    status: str = "status",
+    order: str | None = None,
+    horizon_seconds: float | None = None,
+) -> DataFrame:
+    """Flag ``resolved_after_nxdomain``: the first success after an NXDOMAIN of the same name.
+
+    Every NXDOMAIN opens a watch; the next success closes all open ones and is
+    flagged if the latest of them began at most ``horizon_seconds`` before
+    (default: when the re-checks run out).  Failures and timeouts between
+    change nothing.
+    """
+    if horizon_seconds is None:
+        horizon_seconds = nxdomain_offsets_s(RetryConfig())[-1]
+    w = Window.partitionBy(domain).orderBy(ts, *([order] if order else [])).rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.col(status).isin(NXDOMAIN, SUCCESS)
+    us = epoch_micros(df, ts)
+    last = F.last(F.when(seen, F.struct(F.col(status).alias("s"), us.alias("us"))), ignorenulls=True).over(w)
+    flag = (
+        (F.col(status) == F.lit(SUCCESS))
+        & (last.getField("s") == F.lit(NXDOMAIN))
+        & (us - last.getField("us") <= F.lit(int(round(horizon_seconds * 1_000_000))))
+    )
+    return df.withColumn("resolved_after_nxdomain", F.coalesce(flag, F.lit(False)))
+
+
 def retry_schedule(df: DataFrame, ts: str = "observed_at", status: str = "status", cfg: RetryConfig = RetryConfig()) -> DataFrame:
     """Due times of re-checks after each failed observation.
 
@@ -122,13 +143,11 @@ def retry_outcome(
     tie = [order] if order else []
     w = Window.partitionBy(domain).orderBy(ts, *tie)
     prev = F.lag(F.col(status)).over(w)
-    misses = df.where(F.col(status) == F.lit(NXDOMAIN)).select("*")  # candidates
     starts = (
         df.withColumn("_prev", prev)
         .where((F.col(status) == F.lit(NXDOMAIN)) & (F.coalesce(F.col("_prev"), F.lit("")) != F.lit(NXDOMAIN)))
         .select(F.col(domain).alias("_d"), F.col(ts).alias("miss_at"))
     )
-    del misses
     offs = nxdomain_offsets_s(cfg)
     sched = starts.select(
         "_d",

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from domsift.functions.ip import ip_key, ip_version, key_pred, key_succ
+from domsift.functions.ip import ip_key, key_pred, key_succ, version_of_key
 
 LEVELS = ((4, 14), (4, 13), (6, 4), (6, 3), (6, 2), (6, 1))
 PAYLOAD = ("as_number", "as_name", "country_code")
@@ -169,7 +169,8 @@ def enrich_keys(
     ``ranges``: ``(ver, lo, hi, payload.., row_ord)``; normalised here unless
     ``normalised=True``.  The piece table is broadcast only when its row
     count is below ``MAX_BROADCAST_PIECES`` (counted first); then the join
-    is a chain of broadcast hash joins and the big side never shuffles.
+    is a chain of broadcast hash joins, one for each level that has pieces,
+    and the big side never shuffles.
     Otherwise the distinct keys are probed through a shuffle join and joined
     back, AQE splitting skewed keys.
     """
@@ -177,12 +178,15 @@ def enrich_keys(
     # The piece table is small (ranges, not points): materialise it once in the
     # shared checkpoint folder so the probe plan stays small and lineage is cut.
     pieces = _piece_table(norm, payload).checkpoint(eager=True)
+    sizes = {(r.ver, r.lvl): r["count"] for r in pieces.groupBy("ver", "lvl").count().collect()}  # six at most
     if broadcast is None:
-        broadcast = pieces.count() <= MAX_BROADCAST_PIECES
+        broadcast = sum(sizes.values()) <= MAX_BROADCAST_PIECES
     if broadcast:
         out = points
         names = []
         for i, (v, n) in enumerate(LEVELS):
+            if (v, n) not in sizes:
+                continue
             side = pieces.where((F.col("ver") == v) & (F.col("lvl") == n)).select(
                 F.col("bucket").alias(f"_b{i}"),
                 F.col("lo").alias(f"_lo{i}"),
@@ -198,7 +202,10 @@ def enrich_keys(
             names.append(i)
         res = out.select(
             *points.columns,
-            *[F.coalesce(*[F.col(f"_p{i}_{c}") for i in names]).alias(c) for c in payload],
+            *[
+                F.coalesce(F.lit(None).cast(pieces.schema[c].dataType), *[F.col(f"_p{i}_{c}") for i in names]).alias(c)
+                for c in payload
+            ],
         )
         return res
     # Shuffle path: probe distinct keys, then join back.
@@ -227,7 +234,7 @@ def enrich_ips(
     broadcast: bool | None = None,
 ) -> DataFrame:
     """``enrich_keys`` for an address text column (parsed to version + key)."""
-    pts = df.withColumn("ip_ver", ip_version(ip)).withColumn("ip_key", ip_key(ip))
+    pts = df.withColumn("ip_key", ip_key(ip)).withColumn("ip_ver", version_of_key(ip, "ip_key"))
     out = enrich_keys(pts, ranges, "ip_ver", "ip_key", payload, normalised, broadcast)
     return out.drop("ip_ver", "ip_key")
 

@@ -6,6 +6,10 @@ beats everything and gives up its leftmost label, and a name that matches
 no rule falls back to its last label (the implicit ``*`` rule).  The
 registrable domain is the public suffix plus one more label; a name that
 *is* a public suffix (e.g. a single label) has none (null).
+
+Names are compared without regard to case and without one trailing dot;
+the registrable domain is given in lower case, so spellings of one name
+share their repeat key and digest entry.
 """
 
 from __future__ import annotations
@@ -13,63 +17,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_RULES = 1_000_000
-
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
-def registrable_domains(names: DataFrame, suffixes: DataFrame, domain: str = "domain", rule: str = "rule") -> DataFrame:
-    """Distinct names -> ``(domain, base_domain)`` via an equi-join on suffix text.
 
-    Each name is exploded into its suffixes (one row per label position) and
-    three probe keys per suffix (exact, wildcard parent, exception); the rule
-    table is broadcast after its row count is checked, else shuffled.
-    """
-    d = names.select(F.col(domain).alias("domain")).where(F.col("domain").isNotNull()).distinct()
-    labels = F.split(F.col("domain"), r"\.")
-    exploded = d.select(
-        "domain",
-        F.size(labels).alias("n"),
-        F.posexplode(labels).alias("i", "_lbl"),
-        labels.alias("labels"),
-    )
-    suffix = F.array_join(F.slice(F.col("labels"), F.col("i") + 1, F.col("n") - F.col("i")), ".")
-    parent = F.array_join(F.slice(F.col("labels"), F.col("i") + 2, F.col("n") - F.col("i")), ".")
-    k = F.col("n") - F.col("i")  # labels in this suffix
-    probes = exploded.select(
-        "domain",
-        "n",
-        F.explode(
-            F.array(
-                F.struct(suffix.alias("probe"), F.lit("exact").alias("kind"), k.alias("k")),
-                F.struct(F.concat(F.lit("*."), parent).alias("probe"), F.lit("wild").alias("kind"), k.alias("k")),
-                F.struct(F.concat(F.lit("!"), suffix).alias("probe"), F.lit("exc").alias("kind"), k.alias("k")),
-            )
-        ).alias("p"),
-    ).where(~((F.col("p.kind") == "wild") & (F.col("p.k") < 2)))
-    rules = suffixes.select(F.lower(F.trim(F.col(rule))).alias("probe")).distinct()
-    if rules.count() <= MAX_BROADCAST_RULES:
-        rules = F.broadcast(rules)
-    hits = probes.join(rules, F.col("p.probe") == rules["probe"], "left_semi")
-    per = hits.groupBy("domain", "n").agg(
-        F.max(F.when(F.col("p.kind") == "exc", F.col("p.k") - 1)).alias("exc_len"),
-        F.max(F.when(F.col("p.kind") != "exc", F.col("p.k"))).alias("rule_len"),
+def _rule_table(suffixes: DataFrame, rule: str) -> DataFrame:
+    """Rules as ``(_key, _exact, _wild, _exc)``: the text behind ``*.`` or ``!`` and the kinds it has."""
+    text = F.lower(F.trim(F.col(rule)))
+    kinds = suffixes.select(
+        F.regexp_replace(text, r"^(\*\.|!)", "").alias("_key"),
+        text.startswith("*.").alias("_w"),
+        text.startswith("!").alias("_x"),
+    ).where(F.col("_key") != "")
+    return kinds.groupBy("_key").agg(
+        F.max(~F.col("_w") & ~F.col("_x")).alias("_exact"), F.max("_w").alias("_wild"), F.max("_x").alias("_exc")
     )
-    with_len = d.join(per, "domain", "left").select(
-        "domain",
-        F.size(F.split(F.col("domain"), r"\.")).alias("n"),
-        F.coalesce(F.col("exc_len"), F.col("rule_len"), F.lit(1)).alias("ps_len"),
-    )
-    base = F.when(
-        F.col("n") > F.col("ps_len"),
-        F.array_join(F.slice(F.split(F.col("domain"), r"\."), -(F.col("ps_len") + 1), F.col("ps_len") + 1), "."),
-    )
-    return with_len.select(F.col("domain").alias(domain), base.alias("base_domain"))
 
 
-def registrable_domain(df: DataFrame, suffixes: DataFrame, domain: str = "domain", out: str = "base_domain") -> DataFrame:
-    """Attach ``base_domain`` (null when the name has no registrable part).
+def registrable_domain(
+    df: DataFrame,
+    suffixes: DataFrame,
+    domain: str = "domain",
+    out: str = "base_domain",
+    rule: str = "rule",
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+) -> DataFrame:
+    """Attach ``out`` (null when the name has no registrable part).
 
-    Works on the distinct names and joins back on the name, so a name seen
-    a million times is resolved once.
+    The suffixes of 1, 2, .. labels of each name are looked up in turn, up to
+    the longest rule, so rows stay where they are and the input is read once.
+    The rule table is measured first: within ``max_broadcast_bytes`` it is
+    broadcast, beyond that Spark chooses the join.
     """
-    table = registrable_domains(df.select(domain), suffixes, domain).withColumnRenamed("base_domain", out)
-    return df.join(table, domain, "left")
+    rules = _rule_table(suffixes, rule)
+    depth, n_bytes = rules.agg(F.max(F.size(F.split("_key", r"\."))), F.sum(F.octet_length("_key") + 16)).first()
+    side = F.broadcast(rules) if (n_bytes or 0) <= max_broadcast_bytes else rules
+    keep = [c for c in df.columns if c != out]
+    labels = F.split(F.lower(F.regexp_replace(F.col(domain), r"\.$", "")), r"\.")
+    res = df.select(*keep, labels.alias("_rd_l"))
+    n = F.size("_rd_l")
+    exceptions, matches = [], []
+    for k in range(1, (depth or 0) + 1):
+        level = side.select(*[F.col(c).alias(f"_rd{c}{k}") for c in ("_key", "_exact", "_wild", "_exc")])
+        last_k = F.when(n >= k, F.array_join(F.slice("_rd_l", -k, k), "."))
+        res = res.join(level, last_k == F.col(f"_rd_key{k}"), "left")
+        exceptions.append(F.when(F.col(f"_rd_exc{k}"), F.lit(k - 1)))
+        matches.append(F.when(F.col(f"_rd_wild{k}") & (n > k), F.lit(k + 1)).when(F.col(f"_rd_exact{k}"), F.lit(k)))
+    longest = lambda found: F.array_max(F.array(*found, F.lit(None).cast("int")))
+    suffix_len = F.coalesce(longest(exceptions), longest(matches), F.lit(1))
+    res = res.select(*keep, "_rd_l", suffix_len.alias("_rd_n"))
+    base = F.when(n > F.col("_rd_n"), F.array_join(F.slice("_rd_l", -(F.col("_rd_n") + 1), F.col("_rd_n") + 1), "."))
+    return res.select(*keep, base.alias(out))
+
+
+def registrable_domains(names: DataFrame, suffixes: DataFrame, domain: str = "domain", rule: str = "rule") -> DataFrame:
+    """Distinct names -> ``(domain, base_domain)``."""
+    distinct = names.select(domain).where(F.col(domain).isNotNull()).distinct()
+    return registrable_domain(distinct, suffixes, domain, "base_domain", rule)

@@ -26,10 +26,13 @@ def detect(
     apply_ignore: bool = True,
     ts: str = "seen_at",
     order: str | None = "event_id",
+    first_resolution: str | None = None,
 ) -> DataFrame:
     """Alerts for a feed ``(…, domain, seen_at)`` and answers ``(domain, a, aaaa, ns, enrichment, …)``.
 
-    Names with no answer give no alert.  With ``ttl_seconds`` the alerts
+    Names with no answer give no alert.  ``first_resolution`` names a boolean
+    column of the feed that marks first resolutions after NXDOMAIN; these
+    alerts carry the flag and have repeat keys of their own.  With ``ttl_seconds`` the alerts
     are suppressed per repeat key (registrable domain + tags).
     """
     df = rules.ignore_filter(feed, rule_set.ignore) if apply_ignore else feed
@@ -42,7 +45,7 @@ def detect(
     df = df.where(keep)
     answers = dns_answers.select("domain", "a", "aaaa", "ns", "enrichment")
     joined = attach_dns(df, answers)
-    alerts = build_alerts(joined, ts=ts)
+    alerts = build_alerts(joined, ts=ts, first_resolution=first_resolution)
     alerts = alerts.withColumn("source_tag", F.concat(F.col("_t1"), rules.tags_column(stage2))).drop("_t1")
     alerts = alerts.where(F.size("source_tag") > 0)
     if suffixes is not None:

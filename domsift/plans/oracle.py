@@ -104,21 +104,22 @@ snap_e AS (SELECT s.domain, s.a, s.aaaa, s.ns,
   FROM snap s LEFT JOIN looked l USING (domain) GROUP BY ALL)"""
 
 
-def _alerts(ignore: bool) -> str:
+def _alerts(ignore: bool, feed: str = "feed", p: str = "") -> str:
+    """CTEs up to ``{p}alerts`` from the rows of ``feed(event_id, seen_at, domain)``."""
     ign = r"WHERE NOT (regexp_matches(domain, '^m\.') OR regexp_matches(domain, 'cheap-pills'))" if ignore else ""
-    return f"""fz AS (SELECT * FROM feed {ign}),
-al0 AS (SELECT f.event_id, f.seen_at, f.domain, {NAME_TAGS.replace('domain', 'f.domain')} AS t1,
+    return f"""{p}fz AS (SELECT * FROM {feed} {ign}),
+{p}al0 AS (SELECT f.event_id, f.seen_at, f.domain, {NAME_TAGS.replace('domain', 'f.domain')} AS t1,
     s.a, s.aaaa, s.ns, coalesce(s.enr, []) AS enr
-  FROM fz f JOIN snap_e s ON s.domain = f.domain),
-al1 AS (SELECT *, list_filter([
+  FROM {p}fz f JOIN snap_e s ON s.domain = f.domain),
+{p}al1 AS (SELECT *, list_filter([
     CASE WHEN list_bool_or(list_transform(enr, lambda e: coalesce(e.as_number BETWEEN 1 AND 10, false))) THEN 'low-asn' END,
     CASE WHEN regexp_matches(domain, '\\.com$') AND list_bool_or(list_transform(enr, lambda e: e.as_number IS NOT NULL))
          AND NOT coalesce(list_bool_or(list_transform(enr, lambda e: coalesce(e.as_number BETWEEN 1 AND 5, false))), false) THEN 'com-elsewhere' END,
     CASE WHEN regexp_matches(domain, '^www\\.') AND list_bool_or(list_transform(a, lambda x: {_ipnum('x')} BETWEEN 1048576 AND 2097151)) THEN 'www-block' END,
     CASE WHEN regexp_matches(domain, 'ththe') AND len(a) + len(aaaa) > 0
          AND NOT coalesce(list_bool_or(list_transform(aaaa, lambda x: starts_with(lower(x), '2001:db8:'))), false) THEN 'no-doc-v6' END
-  ], lambda t: t IS NOT NULL) AS t2 FROM al0),
-alerts AS (SELECT al1.*, t1 || t2 AS source_tag, rd.base_domain FROM al1 LEFT JOIN rd USING (domain) WHERE len(t1 || t2) > 0)"""
+  ], lambda t: t IS NOT NULL) AS t2 FROM {p}al0),
+{p}alerts AS (SELECT al.*, t1 || t2 AS source_tag, rd.base_domain FROM {p}al1 al LEFT JOIN rd USING (domain) WHERE len(t1 || t2) > 0)"""
 
 
 RFC3339 = """strftime(seen_at, '%Y-%m-%dT%H:%M:%S') || CASE WHEN strftime(seen_at, '%f') = '000000' THEN ''
@@ -245,10 +246,12 @@ def oracle_sql() -> dict[str, str]:
         "SELECT event_id, n::BIGINT AS checks, bad::BIGINT AS failures, round(bad / n, 6) AS failure_rate, "
         "(bad / n) >= 0.5 AS alarm FROM r"
     )
-    q["first_resolution"] = with_(HOSTS, DNS) + (
-        "SELECT event_id, domain, observed_at FROM (SELECT *, lag(status) OVER (PARTITION BY domain ORDER BY observed_at, event_id) AS prev "
-        "FROM dnss) WHERE status = 'success' AND prev = 'nxdomain'"
-    )
+    # each miss finds its name's next success; it counts within the horizon
+    first = """nextok AS (SELECT n.event_id AS miss, n.observed_at AS miss_at, s.domain, min((s.observed_at, s.event_id)) AS ok
+  FROM dnss n JOIN dnss s ON s.domain = n.domain AND (s.observed_at, s.event_id) > (n.observed_at, n.event_id)
+  WHERE n.status = 'nxdomain' AND s.status = 'success' GROUP BY ALL),
+firsts AS (SELECT DISTINCT ok[2] AS event_id, ok[1] AS seen_at, domain FROM nextok WHERE ok[1] <= miss_at + INTERVAL 43200 SECOND)"""
+    q["first_resolution"] = with_(HOSTS, DNS, first) + "SELECT event_id, domain, seen_at AS observed_at FROM firsts"
     q["retry_schedule"] = with_(HOSTS, DNS) + (
         "SELECT event_id, status, (i + 1)::BIGINT AS attempt, observed_at + to_microseconds(CAST(CASE WHEN status = 'nxdomain' "
         "THEN 10000 * (pow(2, i + 1) - 1) ELSE 500 * (pow(2, i) - 1) END * 1000 AS BIGINT)) AS due_at "
@@ -314,11 +317,13 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT ak.event_id, ak.domain, array_to_string(ak.source_tag, ',') AS tags, ak.base_domain, "
         f"{RFC3339.replace('seen_at', 'ak.seen_at')} AS ts_text FROM rec JOIN ak USING (event_id)"
     )
-    q["union_alerts"] = with_(*base, _alerts(False)) + (
-        "SELECT 'feed' AS source, event_id, domain, false AS resolved_after_nxdomain, array_to_string(source_tag, ',') AS tags "
-        "FROM alerts UNION ALL SELECT 'dns', event_id, domain, true, 'first-resolution' FROM ("
-        "SELECT *, lag(status) OVER (PARTITION BY domain ORDER BY observed_at, event_id) AS prev FROM dnss) "
-        "WHERE status = 'success' AND prev = 'nxdomain'"
+    shown = """event_id, domain, {first} AS resolved_after_nxdomain, array_to_string(source_tag, ',') AS tags,
+  array_to_string(a || aaaa, ';') AS ips, coalesce(array_to_string(list_transform(enr, lambda e: e.ip || '=' || coalesce(e.as_number::VARCHAR, '-')
+    || '/' || coalesce(e.as_name, '-') || '/' || coalesce(e.country_code, '-')), ';'), '') AS enrichment_text, sha256({key}) AS dedup_key"""
+    tags = "array_to_string(list_sort(source_tag), ',')"
+    q["union_alerts"] = with_(*base, _alerts(False), first, _alerts(False, "firsts", "fr_")) + (
+        "SELECT 'feed' AS source, " + shown.format(first="false", key=f"coalesce(base_domain, domain) || '|' || {tags}") + " FROM alerts UNION ALL "
+        "SELECT 'dns', " + shown.format(first="true", key=f"domain || '::' || {tags} || '::FIRST_RESOLUTION'") + " FROM fr_alerts"
     )
     counts = with_(*base, _alerts(True), e2e_keyed, _suppress("ak", 86400)).replace("WITH ", "WITH RECURSIVE ", 1)
     q["pipeline_counts"] = counts + (

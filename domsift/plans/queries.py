@@ -65,6 +65,7 @@ ENRICHED_RULES_YAML = NAME_RULES_YAML + r"""
 IGNORE_PATTERNS = [r"^www\.", "spam-farm", r"\.example\.org$"]
 SUPPRESS_TTL_S = 86400
 DIGEST_WIDTH_S = 21600
+FIRST_RESOLUTION_S = 43200
 DIGEST_BATCH = 50
 
 
@@ -249,9 +250,13 @@ def _obs_status(spark: SparkSession, d: str) -> DataFrame:
     return dns.with_status(tables.dns_observations(spark, d))
 
 
+def _first_resolutions(spark: SparkSession, d: str) -> DataFrame:
+    fr = dns.first_resolution(_obs_status(spark, d), order="event_id", horizon_seconds=FIRST_RESOLUTION_S)
+    return fr.where("resolved_after_nxdomain").select("event_id", "domain", "observed_at", "resolved_after_nxdomain")
+
+
 def q_first_resolution(spark: SparkSession, d: str) -> DataFrame:
-    fr = dns.first_resolution(_obs_status(spark, d), order="event_id")
-    return fr.where("resolved_after_nxdomain").select("event_id", "domain", "observed_at")
+    return _first_resolutions(spark, d).drop("resolved_after_nxdomain")
 
 
 def q_retry_schedule(spark: SparkSession, d: str) -> DataFrame:
@@ -314,14 +319,24 @@ def q_pipeline_end_to_end(spark: SparkSession, d: str) -> DataFrame:
 def q_union_alerts(spark: SparkSession, d: str) -> DataFrame:
     from domsift.operators.alerts import union_alerts
 
-    std = _alerts(spark, d).select(
-        F.lit("feed").alias("source"), "event_id", "domain", "resolved_after_nxdomain",
-        F.array_join("source_tag", ",").alias("tags"),
+    fr = detect(
+        _first_resolutions(spark, d),
+        _enriched_snapshot(spark, d),
+        enriched_rules(),
+        tables.suffix_rules(spark),
+        ttl_seconds=None,
+        apply_ignore=False,
+        ts="observed_at",
+        first_resolution="resolved_after_nxdomain",
+    )
+    both = union_alerts(
+        _alerts(spark, d).withColumn("source", F.lit("feed")), fr.withColumn("source", F.lit("dns"))
     )
-    fr = dns.first_resolution(_obs_status(spark, d), order="event_id").where("resolved_after_nxdomain").select(
-        F.lit("dns").alias("source"), "event_id", "domain", "resolved_after_nxdomain", F.lit("first-resolution").alias("tags")
+    return both.select(
+        "source", "event_id", "domain", "resolved_after_nxdomain", F.array_join("source_tag", ",").alias("tags"),
+        F.array_join(F.concat("dns.a_records", "dns.aaaa_records"), ";").alias("ips"),
+        _enrichment_text().alias("enrichment_text"), dedup.dedup_key().alias("dedup_key"),
     )
-    return union_alerts(std, fr)
 
 
 def q_pipeline_counts(spark: SparkSession, d: str) -> DataFrame:
