@@ -151,16 +151,15 @@ def format_plain(
     return F.trim(line)
 
 
-def format_digest_line(
+def digest_line_parts(
     base: Column | str = "base_domain",
-    count: Column | str = "deduplicated_count",
     domain: Column | str = "domain",
     source_tag: Column | str = "source_tag",
     dns: Column | str = "dns",
     enrichment: Column | str = "enrichment",
-) -> Column:
-    """One digest line: tags, domain links, IP links, ` @ asn/org, CC`."""
-    b, d, n = _c(base), _c(domain), _c(count)
+) -> tuple[Column, Column]:
+    """A digest line before and after its ` (+n more)`: tags and name link; lookups, IP links, ` @ asn/org, CC`."""
+    b, d = _c(base), _c(domain)
     ips = all_ips(dns)
     v4 = F.filter(ips, lambda ip: ip.rlike(IPV4_PATTERN))
     search = F.when(F.size(v4) > 0, F.slice(v4, 1, SEARCH_IP_LIMIT)).otherwise(F.slice(ips, 1, SEARCH_IP_LIMIT))
@@ -194,14 +193,20 @@ def format_digest_line(
         .when(F.size(ips) > 0, F.lit(NO_ASN))
         .otherwise(F.lit(""))
     )
+    head = F.concat(F.lit("["), tags_display(source_tag), F.lit("] "), _template(URLSCAN_DOMAIN, base=b, domain=d))
+    return head, F.concat(_template(SHODAN_VT_DOMAIN, base=b), ip_part, enrich_part)
+
+
+def format_digest_line(
+    base: Column | str = "base_domain",
+    count: Column | str = "deduplicated_count",
+    domain: Column | str = "domain",
+    source_tag: Column | str = "source_tag",
+    dns: Column | str = "dns",
+    enrichment: Column | str = "enrichment",
+) -> Column:
+    """One digest line: tags, domain links, IP links, ` @ asn/org, CC`."""
+    n = _c(count)
     more = F.when(n > 0, F.concat(F.lit(" (+"), n.cast("string"), F.lit(" more)"))).otherwise(F.lit(""))
-    return F.concat(
-        F.lit("["),
-        tags_display(source_tag),
-        F.lit("] "),
-        _template(URLSCAN_DOMAIN, base=b, domain=d),
-        more,
-        _template(SHODAN_VT_DOMAIN, base=b),
-        ip_part,
-        enrich_part,
-    )
+    head, tail = digest_line_parts(base, domain, source_tag, dns, enrichment)
+    return F.concat(head, more, tail)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +66,7 @@ def digest_batches(
     batch_size: int | None = None,
     order: str | None = None,
     by: list[str] | None = None,
+    formatter: Callable[..., Column] = format_digest_line,
 ) -> DataFrame:
     """Time-bucketed digests: ``(window_start, batch, entries, text)``.
 
@@ -71,7 +74,8 @@ def digest_batches(
     domain; with ``batch_size`` the groups of a window are also cut into
     batches of at most that many domains in arrival order, which bounds the
     text of one digest.  Lines are sorted as in ``digest_sort_key`` and
-    joined inside a code fence.
+    joined inside a code fence.  ``formatter`` makes the line: it takes the
+    keywords of ``format_digest_line``.
     """
     by = list(by or [])
     win = F.window(F.col(ts), f"{width_seconds} seconds").getField("start").alias("window_start")
@@ -82,7 +86,7 @@ def digest_batches(
     else:
         agg = agg.withColumn("batch", F.lit(0).cast("bigint"))
     a = F.col("alert")
-    line = format_digest_line(
+    line = formatter(
         base=F.coalesce(a.getField("base_domain"), a.getField("domain")),
         count=F.col("deduplicated_count"),
         domain=a.getField("domain"),
@@ -95,7 +99,7 @@ def digest_batches(
         F.count(F.lit(1)).cast("bigint").alias("entries"),
         F.array_sort(F.collect_list(F.struct("_k", "_line"))).alias("_l"),
     )
-    text = F.concat(F.lit(FENCE + "\n"), F.array_join(F.transform("_l", lambda x: x.getField("_line")), "\n"), F.lit("\n" + FENCE))
+    text = format_digest(F.transform("_l", lambda x: x.getField("_line")))
     return out.select(*by, "window_start", "batch", "entries", text.alias("text"))
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from domsift.functions.ip import ip_key, key_pred, key_succ, version_of_key
+from domsift.operators.alerts import ENRICHMENT_TYPE
 
 LEVELS = ((4, 14), (4, 13), (6, 4), (6, 3), (6, 2), (6, 1))
 PAYLOAD = ("as_number", "as_name", "country_code")
@@ -241,7 +242,7 @@ def enrich_ips(
 
 def enrich_dns_table(
     dns: DataFrame,
-    ranges: DataFrame,
+    ranges: DataFrame | None,
     row_keys: tuple[str, ...] = ("domain", "observed_at"),
     a: str = "a",
     aaaa: str = "aaaa",
@@ -254,8 +255,11 @@ def enrich_dns_table(
     join and re-nested by the row keys.  Callers that have already hash-
     partitioned ``dns`` by ``domain`` pay no extra exchange for the regroup
     (a hash partitioning on ``domain`` satisfies grouping by ``domain, ..``).
-    Rows without addresses keep an empty list.
+    Rows without addresses keep an empty list.  Without a provider
+    (``ranges=None``) every list is empty.
     """
+    if ranges is None:
+        return dns.withColumn("enrichment", F.array().cast(ENRICHMENT_TYPE))
     ips = F.concat(F.coalesce(F.col(a), F.array().cast("array<string>")), F.coalesce(F.col(aaaa), F.array().cast("array<string>")))
     others = [c for c in dns.columns if c not in row_keys]
     # rows of equal keys stay rows of their own

@@ -5,8 +5,9 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from domsift.functions.text import alert_json, format_plain
 from domsift.operators.digest import digest_payload
@@ -19,8 +20,22 @@ def write_alerts_json(alerts: DataFrame, path: str, mode: str = "append") -> Non
     alerts.select(alert_json().alias("value")).write.mode(mode).text(path)
 
 
-def write_alerts_text(alerts: DataFrame, path: str, mode: str = "append") -> None:
-    alerts.select(format_plain().alias("value")).write.mode(mode).text(path)
+def write_alerts_text(
+    alerts: DataFrame, path: str, mode: str = "append", formatter: Callable[[], Column] = format_plain
+) -> None:
+    alerts.select(formatter().alias("value")).write.mode(mode).text(path)
+
+
+def stream_alerts(
+    alerts: DataFrame, path: str, checkpoint: str, formatter: Callable[[], Column] = alert_json, **trigger
+) -> StreamingQuery:
+    """Start a file sink of one line per alert (JSON, or ``formatter=format_plain``), each alert once.
+
+    ``trigger`` is what ``DataStreamWriter.trigger`` takes, e.g. ``availableNow=True``.
+    """
+    lines = alerts.select(formatter().alias("value"))
+    writer = lines.writeStream.format("text").outputMode("append").option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start(path)
 
 
 def write_digests(digests: DataFrame, path: str, mode: str = "append") -> None:
@@ -28,21 +43,34 @@ def write_digests(digests: DataFrame, path: str, mode: str = "append") -> None:
     digest_payload(digests).select(F.col("payload").alias("value")).write.mode(mode).text(path)
 
 
-def fan_out(sinks: dict[str, Callable[[DataFrame, int], None]]) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` body: every alert to every sink; a failing sink is logged and
-    does not stop the others.  The batch is persisted once for all sinks and
-    per-sink sent counts are logged."""
+def fan_out(
+    sinks: dict[str, Callable[[DataFrame, int], int | None]],
+    counts: Callable[[list[tuple[int, str, int, int]]], None] | None = None,
+) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` body: every alert to every sink; a failing sink does not stop the others.
+
+    The batch is persisted once for all sinks.  ``counts`` gets one row
+    ``(epoch, sink, sent, failed)`` for each sink: ``sent`` is the number the
+    sink returns, or the whole batch if it returns none; all alerts of a sink
+    that raises count as failed (what it wrote before is not known).
+    """
 
     def run(batch: DataFrame, epoch: int) -> None:
         batch.persist()
         try:
             n = batch.count()
+            rows = []
             for name, sink in sinks.items():
                 try:
-                    sink(batch, epoch)
-                    log.info("sink %s: sent %d alerts (epoch %d)", name, n, epoch)
+                    took = sink(batch, epoch)
+                    sent = n if took is None else int(took)
+                    rows.append((epoch, name, sent, n - sent))
+                    log.info("sink %s: sent %d of %d alerts (epoch %d)", name, sent, n, epoch)
                 except Exception:  # noqa: BLE001 - one output failing must not stop the others
+                    rows.append((epoch, name, 0, n))
                     log.exception("sink %s failed for epoch %d", name, epoch)
+            if counts:
+                counts(rows)
         finally:
             batch.unpersist()
 

@@ -7,6 +7,7 @@ against it.  Event time is the ``seen_at``/``timestamp`` column (cast to
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,8 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from domsift.functions.text import alert_json, digest_line_parts
 from domsift.operators import rules as rules_mod
-from domsift.operators.digest import aggregate_alerts
+from domsift.operators.digest import FENCE, aggregate_alerts, digest_sort_key, group_key
+from domsift.operators.dns import RetryConfig, nxdomain_offsets_s
 
 try:  # Spark 4: Python stateful processors
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -24,40 +27,60 @@ except Exception:  # pragma: no cover
     StatefulProcessorHandle = object  # type: ignore[misc,assignment]
 
 
+def _micros(times: pd.Series) -> list[int | None]:
+    """Microseconds since the epoch, None for a missing time."""
+    t = pd.to_datetime(times, utc=True).astype("datetime64[us, UTC]")
+    return [None if missing else us for missing, us in zip(t.isna().tolist(), t.astype("int64").tolist())]
+
+
+def _in_order(rows, ts: str, order: str | None) -> pd.DataFrame:
+    """A micro-batch's rows of one key by (time, order), with ``_us``; rows without a time first."""
+    pdf = pd.concat(list(rows), ignore_index=True)
+    pdf = pdf.assign(_us=pd.Series(_micros(pdf[ts]), dtype="Int64"))
+    return pdf.sort_values(["_us"] + ([order] if order else []), kind="stable", na_position="first")
+
+
+def _utc(us: int | None) -> pd.Timestamp | None:
+    return None if us is None else pd.Timestamp(us, unit="us", tz="UTC")
+
+
+def _set_timer(handle, us: int) -> None:
+    """One timer a key, at the first whole millisecond not before ``us``."""
+    for old in list(handle.listTimers()):
+        handle.deleteTimer(old)
+    handle.registerTimer(-(-us // 1000))
+
+
 class _SuppressProcessor(StatefulProcessor):
     """Per key: pass a row when ``ts >= last_passed + ttl``; the row order inside
     a micro-batch is (ts, order).  An event-time timer clears the key once its
     hold has expired, so state is bounded by the ttl, not by the key count."""
 
-    def __init__(self, ttl_ms: int, ts: str, order: str | None):
-        self.ttl_ms = ttl_ms
+    def __init__(self, ttl_us: int, ts: str, order: str | None):
+        self.ttl_us = ttl_us
         self.ts = ts
         self.order = order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last_passed_ms", T.StructType([T.StructField("t", T.LongType())]))
+        self.last = handle.getValueState("last_passed_us", T.StructType([T.StructField("t", T.LongType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True)
-        if pdf.empty:
-            return
-        ms = pd.to_datetime(pdf[self.ts], utc=True).astype("int64") // 1_000_000
-        pdf = pdf.assign(_ms=ms.values)
-        pdf = pdf.sort_values(["_ms"] + ([self.order] if self.order else []), kind="stable")
-        last = self.last.get()[0] if self.last.exists() else None
+        pdf = _in_order(rows, self.ts, self.order)
+        last = before = self.last.get()[0] if self.last.exists() else None
         passed = []
-        for t in pdf["_ms"].tolist():
-            if last is None or t >= last + self.ttl_ms:
+        for t in pdf["_us"].tolist():
+            if pd.isna(t):  # without a time: passes, holds nothing back
+                passed.append(True)
+            elif last is None or t >= last + self.ttl_us:
                 last = t
                 passed.append(True)
             else:
                 passed.append(False)
-        self.last.update((int(last),))
-        for old in self.handle.listTimers():
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(int(last) + self.ttl_ms)
-        yield pdf.drop(columns=["_ms"]).assign(passed=passed)
+        if last != before:
+            self.last.update((int(last),))
+            _set_timer(self.handle, int(last) + self.ttl_us)
+        yield pdf.drop(columns=["_us"]).assign(passed=passed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
@@ -70,13 +93,17 @@ class _SuppressProcessor(StatefulProcessor):
 def suppress_repeats_stream(
     df: DataFrame, key: str, ts: str, ttl_seconds: float, order: str | None = None, watermark: str = "10 minutes"
 ) -> DataFrame:
-    """Streaming twin of ``suppress_repeats``: adds ``passed`` to every row."""
+    """Streaming twin of ``suppress_repeats``: adds ``passed`` to every row.
+
+    Micro-batches are taken as they come, so alerts are not held until the
+    watermark; a row older than its key's last passed one is a repeat.
+    """
     schema = T.StructType(df.schema.fields + [T.StructField("passed", T.BooleanType(), False)])
     return (
         df.withWatermark(ts, watermark)
         .groupBy(key)
         .transformWithStateInPandas(
-            statefulProcessor=_SuppressProcessor(int(ttl_seconds * 1000), ts, order),
+            statefulProcessor=_SuppressProcessor(int(round(ttl_seconds * 1_000_000)), ts, order),
             outputStructType=schema,
             outputMode="Append",
             timeMode="EventTime",
@@ -94,8 +121,7 @@ def digest_window_stream(
 ) -> DataFrame:
     """Time-flushed digest groups: one representative per registrable domain and window.
 
-    Append mode emits a window once the watermark passes its end; the text
-    is rendered per micro-batch (``digest_text_batch``) by the sink.
+    Append mode emits a window once the watermark passes its end.
     """
     win = F.window(F.col(ts), f"{width_seconds} seconds")
     wm = alerts.withWatermark(ts, watermark)
@@ -112,6 +138,19 @@ def rate_report_stream(df: DataFrame, ts: str, key: str, width_seconds: int = 60
     )
 
 
+def failure_rate_stream(
+    df: DataFrame, group: str, ts: str, failed: str, window_seconds: int = 120, slide_seconds: int = 10,
+    threshold: float = 0.95, watermark: str = "1 minute",
+) -> DataFrame:
+    """Share of failed checks in sliding windows, with ``alarm`` at the threshold; final once the watermark passes."""
+    w = F.window(F.col(ts), f"{window_seconds} seconds", f"{slide_seconds} seconds")
+    per = df.withWatermark(ts, watermark).groupBy(w.alias("window"), F.col(group)).agg(
+        F.count(F.lit(1)).alias("checks"), F.count_if(F.col(failed)).alias("failures")
+    )
+    rate = F.col("failures") / F.col("checks")
+    return per.withColumn("failure_rate", F.round(rate, 6)).withColumn("alarm", rate >= F.lit(threshold))
+
+
 def enrich_stream(names: DataFrame, enriched_answers: DataFrame, domain: str = "domain") -> DataFrame:
     """Stream-static equi-join with the pre-enriched answer table (no regrouping on the stream)."""
     return names.join(enriched_answers, domain, "inner")
@@ -128,76 +167,78 @@ def with_rules_reload(load_rules: Callable[[], rules_mod.RuleSet], sink: Callabl
 
 
 class _NxWatchProcessor(StatefulProcessor):
-    """Per name: remember the first NXDOMAIN of a run and follow its re-checks.
-
-    State holds the miss time (ms).  Each later observation is matched to the
-    re-check it answers (the latest due time at or before it); a success
-    resolves the run, another non-NXDOMAIN outcome gives up, and an event-time
-    timer at the last due time gives up when no answer came."""
-
-    def __init__(self, offsets_ms: list[int], ts: str, status: str, order: str | None):
-        self.offsets = offsets_ms
+    """Per name: follow the re-checks of every NXDOMAIN run that is still open.
+
+    State holds the open runs as (miss time, due times answered) and whether
+    the last observation was NXDOMAIN (such a one opens no second run).  An
+    observation answers all due times of a run up to its own time: a success
+    resolves the run, another outcome or the last due time gives it up.  Runs
+    without an answer until ``expire`` after the name's last observation end
+    as pending, and the name is forgotten."""
+
+    def __init__(self, offsets_us: list[int], expire_us: int, ts: str, status: str, order: str | None):
+        self.offsets = offsets_us
+        self.expire = expire_us
         self.ts = ts
         self.status = status
         self.order = order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.miss = handle.getValueState(
-            "miss_ms", T.StructType([T.StructField("t", T.LongType()), T.StructField("answered", T.IntegerType())])
+        self.watch = handle.getValueState(
+            "watch", T.StructType([T.StructField("runs", T.StringType()), T.StructField("missing", T.BooleanType())])
         )
 
-    def _emit(self, key, miss_ms, outcome, attempt, at_ms):
-        return pd.DataFrame(
-            {
-                "domain": [key[0]],
-                "miss_at": [pd.Timestamp(miss_ms, unit="ms", tz="UTC")],
-                "outcome": [outcome],
-                "attempt": [attempt],
-                "resolved_at": [pd.Timestamp(at_ms, unit="ms", tz="UTC") if at_ms is not None else None],
-            }
-        )
+    def _load(self) -> tuple[list, bool]:
+        if not self.watch.exists():
+            return [], False
+        runs, missing = self.watch.get()
+        return json.loads(runs), missing
+
+    def _rows(self, key, ended: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({
+            "domain": [key[0]] * len(ended),
+            "miss_at": [_utc(miss) for miss, *_ in ended],
+            "outcome": [outcome for _, outcome, *_ in ended],
+            "attempt": pd.Series([attempt for *_, attempt, _ in ended], dtype="Int64"),
+            "resolved_at": pd.Series([_utc(at) for *_, at in ended], dtype="datetime64[us, UTC]"),
+        })
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True)
-        ms = pd.to_datetime(pdf[self.ts], utc=True).astype("int64") // 1_000_000
-        pdf = pdf.assign(_ms=ms.values).sort_values(["_ms"] + ([self.order] if self.order else []), kind="stable")
-        state = self.miss.get() if self.miss.exists() else None
-        out = []
-        for t, st in zip(pdf["_ms"].tolist(), pdf[self.status].tolist()):
-            if state is None:
-                if st == "nxdomain":
-                    state = (t, 0)
-                    self.handle.registerTimer(t + self.offsets[-1] + 1)
-                continue
-            miss, answered = state
-            due = [i for i, o in enumerate(self.offsets) if miss + o <= t]
-            if len(due) <= answered:
-                continue  # not a re-check answer (before the next due time)
-            attempt = answered + 1
-            if st == "nxdomain":
-                state = (miss, len(due)) if len(due) < len(self.offsets) else None
-                if state is None:
-                    out.append(self._emit(key, miss, "gave_up", None, None))
-                continue
-            out.append(self._emit(key, miss, "resolved" if st == "success" else "gave_up",
-                                  attempt if st == "success" else None, t if st == "success" else None))
-            state = None
-        if state is None:
-            if self.miss.exists():
-                self.miss.clear()
-            for old in self.handle.listTimers():
-                self.handle.deleteTimer(old)
-        else:
-            self.miss.update((int(state[0]), int(state[1])))
-        if out:
-            yield pd.concat(out, ignore_index=True)
+        pdf = _in_order(rows, self.ts, self.order).dropna(subset=["_us"])
+        runs, missing = self._load()
+        ended, t = [], None
+        for t, status in zip(pdf["_us"].tolist(), pdf[self.status].tolist()):
+            still = []
+            for miss, answered in runs:
+                due = sum(miss + o <= t for o in self.offsets)
+                if due <= answered:
+                    still.append((miss, answered))
+                elif status == "success":
+                    ended.append((miss, "resolved", answered + 1, t))
+                elif status == "nxdomain" and due < len(self.offsets):
+                    still.append((miss, due))
+                else:
+                    ended.append((miss, "gave_up", None, None))
+            if status == "nxdomain" and not missing:
+                still.append((t, 0))
+            runs, missing = still, status == "nxdomain"
+        if t is not None:
+            if runs or missing:
+                self.watch.update((json.dumps(runs), missing))
+                _set_timer(self.handle, int(t) + self.expire)
+            elif self.watch.exists():
+                self.watch.clear()
+                for old in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(old)
+        if ended:
+            yield self._rows(key, ended)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.miss.exists():
-            miss, _ = self.miss.get()
-            self.miss.clear()
-            yield self._emit(key, miss, "gave_up", None, None)
+        runs, _ = self._load()
+        self.watch.clear()
+        if runs:
+            yield self._rows(key, [(miss, "pending", None, None) for miss, _ in runs])
 
     def close(self) -> None:
         pass
@@ -222,16 +263,19 @@ def nxdomain_watch_stream(
     cfg=None,
     order: str | None = None,
     watermark: str = "1 minute",
+    expire_seconds: float = 86400,
 ) -> DataFrame:
-    """Streaming twin of ``retry_outcome``: one row per NXDOMAIN run once it is decided."""
-    from domsift.operators.dns import RetryConfig, nxdomain_offsets_s
+    """Streaming twin of ``retry_outcome``: one row per NXDOMAIN run once it is decided.
 
-    offsets = [int(round(s * 1000)) for s in nxdomain_offsets_s(cfg or RetryConfig())]
+    ``expire_seconds`` bounds the state: a name not seen for so long ends its
+    open runs as pending.
+    """
+    offsets = [int(round(s * 1_000_000)) for s in nxdomain_offsets_s(cfg or RetryConfig())]
     return (
         obs.withWatermark(ts, watermark)
         .groupBy(domain)
         .transformWithStateInPandas(
-            statefulProcessor=_NxWatchProcessor(offsets, ts, status, order),
+            statefulProcessor=_NxWatchProcessor(offsets, int(expire_seconds * 1_000_000), ts, status, order),
             outputStructType=NX_WATCH_SCHEMA,
             outputMode="Append",
             timeMode="EventTime",
@@ -246,13 +290,16 @@ class _DigestFlushProcessor(StatefulProcessor):
     Ticks run every ``width`` from the channel's first alert; a size flush
     restarts them, a tick with nothing pending sends nothing.  Rows are
     compared with the tick before they join the batch (a late tick flushes
-    first).  Pending state is at most ``batch_size`` small entries."""
-
-    def __init__(self, width_ms: int, batch_size: int, ts: str, group: str, order: str | None):
-        self.width = width_ms
+    first).  A domain keeps its first alert and counts the others, so pending
+    state is at most ``batch_size`` alerts.  Rows come with ``group`` (the
+    domain), ``sort_key`` (as JSON), ``head`` and ``tail`` (the line around the
+    count) and ``alert`` (as JSON); names that begin with an underscore would
+    not reach the processor."""
+
+    def __init__(self, width_us: int, batch_size: int, ts: str, order: str | None):
+        self.width = width_us
         self.size = batch_size
         self.ts = ts
-        self.group = group
         self.order = order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -262,79 +309,95 @@ class _DigestFlushProcessor(StatefulProcessor):
                                     T.StructField("n", T.LongType())])
         )
 
-    def _flush(self, key, pending, n, at_ms):
-        groups = list(pending.items())
+    def _load(self) -> tuple[int | None, dict, int]:
+        if not self.state.exists():
+            return None, {}, 0
+        tick, pending, n = self.state.get()
+        return tick, dict(json.loads(pending)), n
+
+    def _flush(self, key, pending: dict, n: int, at_us: int) -> pd.DataFrame:
+        more = lambda count: f" (+{count} more)" if count else ""
+        lines = sorted((sort_key, head + more(count) + tail) for count, sort_key, head, tail, _ in pending.values())
         return pd.DataFrame({
-            "channel": [key[0]], "batch": [n], "flushed_at": [pd.Timestamp(at_ms, unit="ms", tz="UTC")],
-            "entries": [len(groups)],
-            "groups": [[g for g, _ in groups]],
-            "deduplicated": [[c for _, c in groups]],
+            "channel": [key[0]], "batch": [n], "flushed_at": [_utc(at_us)], "entries": [len(pending)],
+            "groups": [list(pending)],
+            "deduplicated": [[count for count, *_ in pending.values()]],
+            "alerts": [[alert for *_, alert in pending.values()]],
+            "text": ["\n".join([FENCE, *[line for _, line in lines], FENCE])],
         })
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        import json
-
-        pdf = pd.concat(list(rows), ignore_index=True)
-        ms = pd.to_datetime(pdf[self.ts], utc=True).astype("int64") // 1_000_000
-        pdf = pdf.assign(_ms=ms.values).sort_values(["_ms"] + ([self.order] if self.order else []), kind="stable")
-        if self.state.exists():
-            tick, pend, n = self.state.get()
-            pending = dict(json.loads(pend))
-        else:
-            tick, pending, n = None, {}, 0
+        pdf = _in_order(rows, self.ts, self.order).dropna(subset=["_us"])
+        if pdf.empty:
+            return
+        tick, pending, n = self._load()
         out = []
-        for t, g in zip(pdf["_ms"].tolist(), pdf[self.group].tolist()):
+        cols = [pdf[c].tolist() for c in ("_us", "group", "sort_key", "head", "tail", "alert")]
+        for t, g, sort_key, head, tail, alert in zip(*cols):
             if tick is None:
                 tick = t + self.width
-            while t >= tick:
+            if t >= tick:
                 if pending:
                     out.append(self._flush(key, pending, n, tick))
                     n, pending = n + 1, {}
-                tick += self.width
-            pending[g] = pending.get(g, -1) + 1
+                tick += ((t - tick) // self.width + 1) * self.width
+            if g in pending:
+                pending[g][0] += 1
+            else:
+                pending[g] = [0, json.loads(sort_key), head, tail, alert]
             if len(pending) >= self.size:
                 out.append(self._flush(key, pending, n, t))
                 n, pending = n + 1, {}
                 tick = t + self.width
         self.state.update((int(tick), json.dumps(list(pending.items())), int(n)))
-        for old in self.handle.listTimers():
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(int(tick))
+        if pending:
+            _set_timer(self.handle, int(tick))
+        else:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
         if out:
             yield pd.concat(out, ignore_index=True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        import json
-
-        if not self.state.exists():
-            return
-        tick, pend, n = self.state.get()
-        pending = dict(json.loads(pend))
+        tick, pending, n = self._load()
         if pending:
+            self.state.update((int(tick) + self.width, "[]", int(n) + 1))
             yield self._flush(key, pending, n, tick)
-            n += 1
-        self.state.update((int(tick + self.width), "[]", int(n)))
+
+    def close(self) -> None:
+        pass
 
 
 DIGEST_FLUSH_SCHEMA = T.StructType([
     T.StructField("channel", T.StringType()), T.StructField("batch", T.LongType()),
     T.StructField("flushed_at", T.TimestampType()), T.StructField("entries", T.LongType()),
     T.StructField("groups", T.ArrayType(T.StringType())), T.StructField("deduplicated", T.ArrayType(T.LongType())),
+    T.StructField("alerts", T.ArrayType(T.StringType())), T.StructField("text", T.StringType()),
 ])
 
 
 def digest_flush_stream(
-    alerts: DataFrame, channel: str, group: str, ts: str = "timestamp", width_seconds: int = 300,
+    alerts: DataFrame, channel: str, ts: str = "timestamp", width_seconds: float = 300,
     batch_size: int = 50, order: str | None = None, watermark: str = "1 minute",
 ) -> DataFrame:
-    """Digest batches flushed by size or by tick, per channel (see ``_DigestFlushProcessor``)."""
-    return (
-        alerts.withWatermark(ts, watermark)
-        .groupBy(channel)
-        .transformWithStateInPandas(
-            statefulProcessor=_DigestFlushProcessor(width_seconds * 1000, batch_size, ts, group, order),
-            outputStructType=DIGEST_FLUSH_SCHEMA,
-            outputMode="Append",
-            timeMode="EventTime",
-        )
+    """Digests of alert records, flushed by size or by tick, per channel (see ``_DigestFlushProcessor``).
+
+    One row per digest: the registrable domains in order of arrival with the
+    number of further alerts and the first alert (JSON) of each, and the
+    digest text, its lines sorted as in ``digest_batches``.
+    """
+    record = F.struct(*[F.col(c) for c in ("domain", "base_domain", "enrichment")])
+    k = digest_sort_key(record)
+    sort_key = F.to_json(F.array(*[F.coalesce(k.getField(c).cast("string"), F.lit("")) for c in ("b_null", "b", "d", "o_null", "o")]))
+    head, tail = digest_line_parts(base=group_key())
+    rows = alerts.withWatermark(ts, watermark).select(
+        F.col(channel).cast("string").alias("channel"), F.col(ts), *([F.col(order)] if order else []),
+        group_key().alias("group"), sort_key.alias("sort_key"), head.alias("head"), tail.alias("tail"),
+        alert_json(timestamp=ts).alias("alert"),
+    )
+    return rows.groupBy("channel").transformWithStateInPandas(
+        statefulProcessor=_DigestFlushProcessor(int(round(width_seconds * 1_000_000)), batch_size, ts, order),
+        outputStructType=DIGEST_FLUSH_SCHEMA,
+        outputMode="Append",
+        timeMode="EventTime",
     )
