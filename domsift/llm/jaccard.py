@@ -2,8 +2,9 @@
 
     1. one pass over the texts makes each document's n-gram set (hashed to 64
        bits), a 128-bit digest of it, and its MinHash signature in bands;
-    2. documents of equal sets are one class from here on, with a count;
-    3. classes that share a band bucket are chained to the bucket's smallest id
+    2. documents of equal sets are one set from here on, with a number of its own
+       and a count; doc_ids may be on several sets and only name classes;
+    3. sets that share a band bucket are chained to the bucket's smallest number
        (one edge a row, never all pairs), connected components of these chains
        are the candidate clusters;
     4. inside a cluster the full n-gram sets are compared, blocks of members
@@ -106,6 +107,10 @@ class Grams:
         return np.unique(grams)
 
 
+def _digest(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+
+
 class Signature:
     """MinHash band hashes: ``bands * rows`` independent minima over the set."""
 
@@ -140,7 +145,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int = NGRAM) -> DataFr
             digest, size, hashes = [], [], []
             for value in batch.column(1):
                 grams = grams_of(value.as_py())
-                digest.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
+                digest.append(_digest(grams))
                 size.append(len(grams))
                 hashes.append(signature(grams))
             yield pa.RecordBatch.from_arrays(
@@ -157,12 +162,12 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int = NGRAM) -> DataFr
 
 
 def _verify(threshold: float, n: int):
-    """Links inside one group of members: (rep, links, label) of each member."""
+    """Links inside one group of members: (set_id, links, label) of each member."""
     up = math.floor(threshold * 1000 + 0.5)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(b, dtype=np.uint64) for b in group["grams"]]
-        reps, copies, side = (group[c].to_numpy() for c in ("rep", "copies", "side"))
+        ids, copies, side = (group[c].to_numpy() for c in ("set_id", "copies", "side"))
         m = len(sets)
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
         owner = np.repeat(np.arange(m), sizes)
@@ -194,50 +199,75 @@ def _verify(threshold: float, n: int):
             if (new == label).all():
                 break
             label = new
-        return pd.DataFrame({"rep": reps, "links": linked @ copies, "label": reps[label]})
+        return pd.DataFrame({"set_id": ids, "links": linked @ copies, "label": ids[label]})
 
     return run
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = TARGET_RECALL) -> DataFrame:
     """(doc_id, class_id, n_links) for every row of ``docs`` (doc_id, text)."""
+    signed, whole = _classes(docs, threshold, n, recall)
+    known = signed.where("doc_id is not null").select("doc_id", "digest")
+    out = known.join(whole, "digest").select("doc_id", "class_id", "n_links")
+    nameless = signed.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return out.unionByName(nameless)
+
+
+def _classes(docs: DataFrame, threshold: float, n: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Signatures of all rows, and (digest, rep, class_id, n_links, first) of each set of n-grams.
+
+    ``rep`` is the set's smallest doc_id. ``first`` marks one set of each class:
+    of those with its smallest doc_id that of the smallest digest.
+    """
     bands, rows = choose_bands(threshold, recall)
     signed = written(signatures(docs, bands, rows, n), "signatures")
     known = signed.where("doc_id is not null")
+    # the number is of use because the table is written: it stays what it is
     sets = written(
-        known.groupBy("digest").agg(
-            F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")
-        ),
+        known.groupBy("digest")
+        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
+        .withColumn("set_id", F.monotonically_increasing_id()),
         "sets",
     )
-    # a class may share a bucket with itself only: such buckets end here
-    buckets = sets.select("rep", F.explode("bands").alias("bucket"))
-    first = buckets.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("_last")).where("a <> _last").select("bucket", "a")
-    chains = buckets.join(written(first, "buckets"), "bucket").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    # a set may share a bucket with itself only: such buckets end here
+    buckets = sets.select("set_id", F.explode("bands").alias("bucket"))
+    first = buckets.groupBy("bucket").agg(F.min("set_id").alias("a"), F.max("set_id").alias("_last")).where("a <> _last").select("bucket", "a")
+    chains = buckets.join(written(first, "buckets"), "bucket").where("set_id <> a").select("a", F.col("set_id").alias("b")).distinct()
     clusters = connected_components(chains)
     members = written(
-        clusters.select(F.col("node").alias("rep"), F.col("label").alias("cluster")).join(sets.select("rep", "copies", "n_grams"), "rep"), "members"
+        clusters.select(F.col("node").alias("set_id"), F.col("label").alias("cluster")).join(
+            sets.select("set_id", "digest", "rep", "copies", "n_grams"), "set_id"
+        ),
+        "members",
     )
     if members.isEmpty():
-        found = sets.select("rep", F.col("rep").alias("class_id"), F.lit(0).cast("long").alias("links"))
-    else:
-        found = _compare(docs, members, threshold, n)
+        alone = sets.select("digest", "rep", F.col("rep").alias("class_id"), (F.col("copies") - 1).alias("n_links"), F.lit(True).alias("first"))
+        return signed, written(alone, "classes")
+    found = _compare(docs, members, threshold, n)
+    linked = written(members.select("set_id", "digest", "rep").join(found, "set_id"), "linked")
+    firsts = written(linked.groupBy("label").agg(F.min(F.struct("rep", "digest")).alias("_first")), "firsts")
+    named = linked.join(firsts, "label").select(
+        "digest", F.col("_first.rep").alias("class_id"), "links", (F.col("digest") == F.col("_first.digest")).alias("first")
+    )
     whole = (
         sets.select("digest", "rep", "copies")
-        .join(found, "rep", "left")
+        .join(named, "digest", "left")
         .select(
             "digest",
+            "rep",
             F.coalesce("class_id", "rep").alias("class_id"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+            F.coalesce("first", F.lit(True)).alias("first"),
         )
     )
-    out = known.select("doc_id", "digest").join(written(whole, "classes"), "digest").select("doc_id", "class_id", "n_links")
-    nameless = signed.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(nameless)
+    return signed, written(whole, "classes")
 
 
 def _compare(docs: DataFrame, members: DataFrame, threshold: float, n: int) -> DataFrame:
-    """(rep, class_id, links) of the members of all clusters (rep, cluster, copies, n_grams)."""
+    """(set_id, label, links) of the members of all clusters (set_id, digest, rep, cluster, copies, n_grams).
+
+    ``label``: smallest set_id of the sets linked directly or through others.
+    """
     # size classes as wide as the threshold: members of classes further apart than one can't be linked
     sized = members.withColumn("size_class", F.floor(F.log(F.col("n_grams")) / -math.log(threshold) + 1e-9).cast("int"))
     counted = sized.groupBy("cluster", "size_class").agg(F.count(F.lit(1)).alias("m"), F.sum("n_grams").alias("g"))
@@ -252,7 +282,7 @@ def _compare(docs: DataFrame, members: DataFrame, threshold: float, n: int) -> D
         .select("cluster", ((F.col("m") <= BLOCK_MEMBERS) & (F.col("g") <= BLOCK_GRAMS)).alias("one"), "blocks")
     )
     plan = sized.join(written(per_cluster, "clusters"), "cluster")
-    own = F.pmod(F.xxhash64("rep"), F.element_at("blocks", F.col("size_class"))).cast("int")
+    own = F.pmod(F.xxhash64("set_id"), F.element_at("blocks", F.col("size_class"))).cast("int")
     here = plan.withColumn("block", own)
 
     def pairs(step: int):
@@ -271,45 +301,59 @@ def _compare(docs: DataFrame, members: DataFrame, threshold: float, n: int) -> D
     nothing = F.struct(F.lit(0).alias("s"), F.lit(0).alias("b"))
     alone = F.array(F.struct(nothing.alias("x"), nothing.alias("y"), F.lit(0).alias("side")))
     groups = F.when(F.col("one"), alone).otherwise(F.concat(pairs(-1), pairs(0), pairs(1)))
-    placed = written(here.select("rep", "copies", "cluster", F.explode(groups).alias("group")), "groups")
+    placed = written(here.select("set_id", "digest", "copies", "cluster", F.explode(groups).alias("group")), "groups")
 
-    wanted = members.select("rep")
+    # a set's smallest doc_id may be on other sets too: rows are told apart by the digest
+    wanted = members.select("rep").distinct()
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams_of = Grams(n)
         for batch in batches:
-            sets = [grams_of(t.as_py()).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "grams"])
+            sets = [grams_of(t.as_py()) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "grams"]
+            )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi")
-    sets = texts.mapInArrow(grams, "rep long, grams binary").dropDuplicates(["rep"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi").select("text")
+    sets = texts.mapInArrow(grams, "digest binary, grams binary").dropDuplicates(["digest"])
     compared = written(
-        placed.join(sets, "rep")
-        .select("cluster", "group.x", "group.y", "group.side", "rep", "copies", "grams")
+        placed.join(sets, "digest")
+        .select("cluster", "group.x", "group.y", "group.side", "set_id", "copies", "grams")
         .groupBy("cluster", "x", "y")
-        .applyInPandas(_verify(threshold, n), "rep long, links long, label long"),
+        .applyInPandas(_verify(threshold, n), "set_id long, links long, label long"),
         "links",
     )
-    links = compared.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = connected_components(compared.select(F.col("rep").alias("a"), F.col("label").alias("b")))
-    return links.join(classes, links["rep"] == classes["node"], "left").select(
-        "rep", F.coalesce("label", "rep").alias("class_id"), "links"
-    )
+    links = compared.groupBy("set_id").agg(F.sum("links").alias("links"))
+    labels = connected_components(compared.select(F.col("set_id").alias("a"), F.col("label").alias("b")))
+    return links.join(labels, links["set_id"] == labels["node"], "left").select("set_id", F.coalesce("label", "set_id").alias("label"), "links")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
     """``docs`` with one document of each class, that of the smallest doc_id, with all its columns.
 
-    Rows without a doc_id stay. A doc_id on several rows stays if any of them is
-    its class's first; its rows of equal text then become one.
+    Rows without a doc_id stay. Where the smallest doc_id is on several rows of
+    its class, one of the smallest digest of n-grams stays; its rows of other
+    classes are judged there.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), threshold, n).where("doc_id is not null")
+    signed, whole = _classes(docs.select("doc_id", "text"), threshold, n, TARGET_RECALL)
+    judged = signed.where("doc_id is not null").select("doc_id", "digest").join(whole, "digest")
     by_id = written(
-        found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.max(F.col("class_id") == F.col("doc_id")).alias("_first")).where("_rows > 1 or not _first"),
+        judged.groupBy("doc_id")
+        .agg(F.count(F.lit(1)).alias("_rows"), F.max(F.col("first") & (F.col("rep") == F.col("doc_id"))).alias("_first"))
+        .where("_rows > 1 or not _first"),
         "not-single",
     )
     single = docs.join(by_id.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
     again = by_id.where("_first").select("doc_id")
     if again.isEmpty():
         return single
-    return single.unionByName(docs.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+
+    @F.pandas_udf("binary")
+    def digests(texts: pd.Series) -> pd.Series:
+        grams_of = Grams(n)
+        return texts.map(lambda t: _digest(grams_of(t)))
+
+    digest = "_" + max(docs.columns, key=len)  # no column of the table
+    kept = whole.where("first").select(F.col("rep").alias("doc_id"), F.col("digest").alias(digest)).join(again, "doc_id", "left_semi")
+    rows = docs.join(again, "doc_id", "left_semi").withColumn(digest, digests("text"))
+    return single.unionByName(rows.join(kept, ["doc_id", digest], "left_semi").dropDuplicates(["doc_id", digest]).select(docs.columns))

@@ -112,6 +112,17 @@ def test_keep_one_and_empty(spark):
     assert 1 - (1 - 0.8**width) ** bands >= jaccard.TARGET_RECALL
 
 
+def test_one_id_on_different_texts(spark):
+    rnd = random.Random(11)
+    a, b, c = prose(rnd, 100), prose(rnd, 100), prose(rnd, 100)
+    rows = [(5, a), (3, a + " end"), (5, b), (5, "  " + b.upper()), (6, b + " end"), (9, c), (9, c + " end"), (9, "alone")]
+    for order in (rows, rows[::-1]):
+        got = sorted(map(tuple, jaccard.near_duplicates(docs_of(spark, order)).collect()))
+        assert got == sorted([(5, 3, 1), (3, 3, 1), (5, 5, 2), (5, 5, 2), (6, 5, 2), (9, 9, 1), (9, 9, 1), (9, 9, 0)])
+        kept = [(r.doc_id, r.text.lower().strip()) for r in jaccard.keep_one(docs_of(spark, order)).collect()]
+        assert len(kept) == 4 and {(3, a + " end"), (5, b), (9, "alone")} < set(kept) and set(kept) & {(9, c), (9, c + " end")}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(7, 7)]
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a LONG, b LONG")).collect()}
