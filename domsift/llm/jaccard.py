@@ -189,7 +189,7 @@ def _verify(threshold: float, n: int):
         union = sizes[:, None] + sizes[None, :] - common
         linked = common * 1000 >= union * up
         np.fill_diagonal(linked, False)
-        if side.max() != side.min():  # two blocks: each block's own pairs are another group's
+        if not group["own"].iloc[0]:  # two blocks, one perhaps empty: each block's own pairs are another group's
             linked &= side[:, None] != side[None, :]
         label = np.arange(m)
         while True:  # smallest label of the neighbours, until nothing changes
@@ -318,7 +318,7 @@ def _compare(docs: DataFrame, members: DataFrame, threshold: float, n: int) -> D
     sets = texts.mapInArrow(grams, "digest binary, grams binary").dropDuplicates(["digest"])
     compared = written(
         placed.join(sets, "digest")
-        .select("cluster", "group.x", "group.y", "group.side", "set_id", "copies", "grams")
+        .select("cluster", "group.x", "group.y", "group.side", (F.col("group.x") == F.col("group.y")).alias("own"), "set_id", "copies", "grams")
         .groupBy("cluster", "x", "y")
         .applyInPandas(_verify(threshold, n), "set_id long, links long, label long"),
         "links",

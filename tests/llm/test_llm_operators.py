@@ -112,6 +112,17 @@ def test_keep_one_and_empty(spark):
     assert 1 - (1 - 0.8**width) ** bands >= jaccard.TARGET_RECALL
 
 
+def test_links_of_empty_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 50)
+    rnd = random.Random(12)
+    rows = []
+    for i in range(0, 60, 3):  # three near copies, each larger than a block; the third falls in a higher size class
+        text = prose(rnd, 90, 10**6)
+        rows += [(i, text), (i + 1, text + " end"), (i + 2, text + " " + prose(rnd, 18, 10**6))]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == links_by_brute_force(rows)
+
+
 def test_one_id_on_different_texts(spark):
     rnd = random.Random(11)
     a, b, c = prose(rnd, 100), prose(rnd, 100), prose(rnd, 100)
