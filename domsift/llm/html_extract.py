@@ -10,8 +10,9 @@ are text too, so only whole blocks go, and only those that most pages of the
 host show. Otherwise the runs that a tenth of the pages share are cut out of the
 blocks and the unique runs are kept.
 
-Hosts of more than ``shard_bytes`` of html are dealt over several suffix arrays
-at random; the shares are taken of the pages there.
+Pages of equal html are parsed and sorted once; the texts are joined back to
+their rows. Hosts of more than ``shard_bytes`` of different html are dealt over
+several suffix arrays at random; the shares are taken of the pages there.
 
 Defined results
     * null html: empty text; a null URL, or one without ``://``, belongs to the
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections.abc import Iterator
 import zlib
 
 import numpy as np
@@ -196,7 +198,7 @@ def pages_sharing(tokens: np.ndarray, page: np.ndarray, run: int) -> np.ndarray:
     width = 1
     while width < run:
         after = np.full(n, -1, dtype=np.int64)
-        after[: n - width] = rank[width:]
+        after[: max(0, n - width)] = rank[width:]
         _, rank = np.unique(rank * np.int64(n + 1) + after + 1, return_inverse=True)
         width *= 2
     pairs = np.unique(rank * np.int64(n + 1) + page)
@@ -211,10 +213,8 @@ def covered(sharing: np.ndarray, run: int, least_pages: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def extract_pages(pages: list[str]) -> list[str]:
-    """Main texts of one host's (or shard's) pages."""
-    distinct = {p: k for k, p in enumerate(dict.fromkeys(pages))}
-    cut = [blocks(p) for p in distinct]
+def _tokens(cut: list[list[tuple[str, int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """All pages' tokens, each page's ended by a number of its own below zero, and each position's page."""
     tokens: list[int] = []
     sizes = []
     for k, page in enumerate(cut):
@@ -223,9 +223,16 @@ def extract_pages(pages: list[str]) -> list[str]:
             tokens += [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in text.split(" ")]
         tokens.append(-k - 1)
         sizes.append(len(tokens) - before)
-    sharing = pages_sharing(np.array(tokens, dtype=np.int64), np.repeat(np.arange(len(cut)), sizes), RUN_TOKENS)
-    shared = covered(sharing, RUN_TOKENS, max(RUN_PAGES, int(np.ceil(RUN_SHARE * len(cut)))))
-    notices = covered(sharing, RUN_TOKENS, max(ARTICLE_PAGES, int(np.ceil(ARTICLE_SHARE * len(cut)))))
+    return np.array(tokens, dtype=np.int64), np.repeat(np.arange(len(cut)), sizes)
+
+
+def _least(pages: int) -> tuple[int, int]:
+    """On how many of a host's pages a run must be: anywhere, and as part of a whole block of an article."""
+    return max(RUN_PAGES, int(np.ceil(RUN_SHARE * pages))), max(ARTICLE_PAGES, int(np.ceil(ARTICLE_SHARE * pages)))
+
+
+def _texts(cut: list[list[tuple[str, int]]], shared: np.ndarray, notices: np.ndarray) -> list[str]:
+    """Main texts, by which token positions are in runs of many pages."""
     texts, at = [], 0
     for page in cut:
         article = any(where == ARTICLE for _, where in page)
@@ -240,35 +247,107 @@ def extract_pages(pages: list[str]) -> list[str]:
                 kept.append(" ".join(w for w, gone in zip(words, shared[here]) if not gone))
         at += 1
         texts.append("\n\n".join(kept))
+    return texts
+
+
+def _host_texts(cut: list[list[tuple[str, int]]]) -> list[str]:
+    """Main texts of all different pages of one host."""
+    sharing = pages_sharing(*_tokens(cut), RUN_TOKENS)
+    return _texts(cut, *(covered(sharing, RUN_TOKENS, n) for n in _least(len(cut))))
+
+
+def extract_pages(pages: list[str]) -> list[str]:
+    """Main texts of one host's pages."""
+    distinct = {p: k for k, p in enumerate(dict.fromkeys(pages))}
+    texts = _host_texts([blocks(p) for p in distinct])
     return [texts[distinct[p]] for p in pages]
 
 
+def _packed(group: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, group.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(group)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> tuple[pa.Table, list[list[tuple[str, int]]]]:
+    """A shard's table and its pages' blocks."""
+    table = pa.ipc.open_stream(data).read_all()
+    return table, [_read_blocks(page) for page in table["blocks"].to_pylist()]
+
+
+def _written_blocks(page: str) -> bytes:
+    """White space inside a block is one space, so lines tell blocks apart."""
+    return zlib.compress("\n".join(f"{where}{text}" for text, where in blocks(page)).encode("utf-8", "surrogatepass"))
+
+
+def _read_blocks(data: bytes) -> list[tuple[str, int]]:
+    return [(b[1:], int(b[0])) for b in zlib.decompress(data).decode("utf-8", "surrogatepass").split("\n") if b]
+
+
 def extract(df: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``df`` (page_id, url, html)."""
-    rows = df.select("page_id", "url", "html").withColumn("_host", url_host(F.col("url")))
-    size = F.octet_length(F.coalesce("html", F.lit("")))
+    page = F.coalesce("html", F.lit(""))
+    rows = df.select("page_id", "url", page.alias("html"), url_host(F.col("url")).alias("_host"), F.unhex(F.sha2(page, 256)).alias("_digest"))
+    known = written(rows.groupBy("_host", "_digest").agg(F.count(F.lit(1)).alias("_rows"), F.max(F.octet_length("html")).alias("_bytes")), "digests")
     large = written(
-        rows.groupBy("_host")
-        .agg(F.sum(size).alias("_bytes"))
-        .select("_host", F.ceil(F.col("_bytes") / shard_bytes).cast("int").alias("_shards"))
+        known.groupBy("_host")
+        .agg(F.count(F.lit(1)).alias("_pages"), F.sum("_bytes").alias("_bytes"))
+        .select("_host", "_pages", F.ceil(F.col("_bytes") / shard_bytes).cast("int").alias("_shards"))
         .where("_shards > 1"),
         "large-hosts",
     )
-    dealt = rows.join(large, "_host", "left")
-    # pages of equal html go to one shard and count once there
-    shard = F.pmod(F.xxhash64(F.coalesce("html", F.lit(""))), F.coalesce("_shards", F.lit(1))).cast("int")
-
-    def run(group: pa.Table) -> pa.Table:
-        texts = extract_pages([h or "" for h in group["html"].to_pylist()])
-        return pa.table(
-            {
-                "page_id": group["page_id"],
-                "url": group["url"],
-                "text": pa.array(texts, pa.string()),
-                "n_chars": pa.array([len(t) for t in texts], pa.int64()),
-            }
-        )
-
     kind = df.schema["page_id"].dataType.simpleString()
-    placed = dealt.select("page_id", "url", "html", "_host", shard.alias("_shard"))
-    return placed.groupBy("_host", "_shard").applyInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # a task gives each page of a host once
+        for batch in batches:
+            host, digest = batch.column("_host").to_pylist(), batch.column("_digest").to_pylist()
+            new = [i for i, key in enumerate(zip(host, digest)) if not (key in seen or seen.add(key))]
+            cut = [_written_blocks(batch.column("html")[i].as_py()) for i in new]
+            given = batch.select(["page_id", "url", "_host", "_digest", "_shard", "_pages"]).take(pa.array(new, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*given.columns, pa.array(cut, pa.binary())], names=[*given.schema.names, "blocks"])
+
+    shard = F.pmod(F.xxhash64("_digest"), F.coalesce("_shards", F.lit(1))).cast("int")
+    placed = rows.join(large, "_host", "left").select("page_id", "url", "html", "_host", "_digest", shard.alias("_shard"), F.coalesce("_pages", F.lit(0)).alias("_pages"))
+
+    def distinct(some: DataFrame):
+        """Groups of a shard's different pages; one exchange: copies that several tasks gave end before a group is formed."""
+        parsed = some.mapInArrow(parse, f"page_id {kind}, url string, _host string, _digest binary, _shard int, _pages long, blocks binary")
+        return parsed.repartition("_host", "_shard").dropDuplicates(["_host", "_shard", "_digest"]).groupBy("_host", "_shard")
+
+    def named(table: pa.Table, host: str, texts: list[str]) -> pa.Table:
+        columns = [table["page_id"], table["url"], pa.array([host] * len(texts), pa.string()), table["_digest"]]
+        columns += [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+        return pa.table(columns, names=["page_id", "url", "_host", "_digest", "text", "n_chars"])
+
+    def whole(group: pa.Table) -> pa.Table:
+        return named(group, group["_host"][0].as_py(), _host_texts([_read_blocks(b) for b in group["blocks"].to_pylist()]))
+
+    with_text = f"page_id {kind}, url string, _host string, _digest binary, text string, n_chars long"
+    texts = distinct(placed.where("_pages = 0")).applyInArrow(whole, with_text)
+
+    def pack(group: pa.Table) -> pa.Table:
+        pages = group.select(["page_id", "url", "_digest", "blocks"])
+        return pa.table({**{c: group[c][:1] for c in ("_host", "_shard", "_pages")}, "data": pa.array([_packed(pages)], pa.binary())})
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                host, data = (batch.column(c)[i].as_py() for c in ("_host", "data"))
+                table, cut = _unpacked(data)
+                yield from named(table, host, _host_texts(cut)).combine_chunks().to_batches()
+
+    if not large.isEmpty():
+        shards = written(distinct(placed.where("_pages > 0")).applyInArrow(pack, "_host string, _shard int, _pages long, data binary"), "shards")
+        ready = shards.select("_host", "data")
+        texts = texts.unionByName(ready.mapInArrow(finish, with_text))
+    out = ["page_id", "url", "text", "n_chars"]
+    repeated = written(known.where("_rows > 1").select("_host", "_digest"), "repeated")
+    if repeated.isEmpty():
+        return texts.select(out)
+    key = ["_host", "_digest"]
+    texts = written(texts, "texts")
+    copied = written(texts.join(repeated, key, "left_semi").select(*key, "text", "n_chars"), "copied")
+    again = rows.select("page_id", "url", *key).join(copied, key).select(out)
+    return texts.join(repeated, key, "left_anti").select(out).unionByName(again)

@@ -263,6 +263,16 @@ def test_extract_rows(spark):
     assert got == sorted([(1, "http://h/1", "x", 1)] * 2 + [(None, None, "", 0), (2, "bad", "", 0)], key=str)
 
 
+def test_copies_are_packed_once(spark, monkeypatch):
+    tables, write = {}, html_extract.written
+    monkeypatch.setattr(html_extract, "written", lambda df, name: tables.setdefault(name, write(df, name)))
+    df = spark.range(500).selectExpr("id page_id", "'http://h/' url", "concat('<p>text ', if(id < 400, 0, id)) html").repartition(7)
+    got = {r.page_id: r.text for r in html_extract.extract(df, shard_bytes=200).collect()}
+    assert got == {i: f"text {0 if i < 400 else i}" for i in range(500)}
+    pages = [html_extract._unpacked(bytes(r.data))[0].num_rows for r in tables["shards"].collect()]
+    assert sum(pages) == 101 and max(pages) < 50  # the copies make no large group
+
+
 # 8
 def test_maximal_segments_by_brute_force():
     rnd = random.Random(10)
