@@ -12,7 +12,11 @@ blocks and the unique runs are kept.
 
 Pages of equal html are parsed and sorted once; the texts are joined back to
 their rows. Hosts of more than ``shard_bytes`` of different html are dealt over
-several suffix arrays at random; the shares are taken of the pages there.
+several shards at random. There a run is known by a 64-bit hash, and its pages
+are counted over the whole host, so the number of shards changes no result: what
+a host's share asks for must reach that share in one of its shards, and only
+such runs are counted everywhere (all runs, where they are more than
+``MANY_RUNS``).
 
 Defined results
     * null html: empty text; a null URL, or one without ``://``, belongs to the
@@ -47,6 +51,8 @@ RUN_PAGES, RUN_SHARE = 3, 0.1
 #: The same for whole blocks inside an article.
 ARTICLE_PAGES, ARTICLE_SHARE = 20, 0.6
 SHARD_BYTES = 4 << 20
+#: Runs of one host that are looked for in its shards as a list, at most.
+MANY_RUNS = 1_000_000
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[a-zA-Z/!?](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|<[a-zA-Z/!?][^>]*>|[^<]+|<", re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
@@ -263,6 +269,38 @@ def extract_pages(pages: list[str]) -> list[str]:
     return [texts[distinct[p]] for p in pages]
 
 
+def run_hashes(tokens: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same 64-bit hash for the same ``run`` tokens anywhere, and whether a page has them all, at each position."""
+    n = len(tokens)
+    hashes, whole = tokens.astype(np.uint64), tokens >= 0
+    width = 1
+    with np.errstate(over="ignore"):
+        while width < run:
+            after, more = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=bool)
+            after[: max(0, n - width)], more[: max(0, n - width)] = hashes[width:], whole[width:]
+            hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xFF51AFD7ED558CCD) + after
+            hashes = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+            whole &= more
+            width *= 2
+    return hashes.view(np.int64), whole
+
+
+def _page_counts(cut: list[list[tuple[str, int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """(run hashes, on how many of these pages each is)."""
+    tokens, page = _tokens(cut)
+    hashes, whole = run_hashes(tokens, RUN_TOKENS)
+    hashes, place = np.unique(hashes[whole], return_inverse=True)
+    pairs = np.unique(place * np.int64(len(cut)) + page[whole])
+    return hashes, np.bincount(pairs // len(cut), minlength=len(hashes))
+
+
+def _shard_texts(cut: list[list[tuple[str, int]]], shared, notices) -> list[str]:
+    """Main texts of a shard's pages, given the hashes of the host's runs of many pages."""
+    hashes, whole = run_hashes(_tokens(cut)[0], RUN_TOKENS)
+    found = (np.isin(hashes, np.asarray(runs, dtype=np.int64)) & whole for runs in (shared, notices))
+    return _texts(cut, *(covered(f.astype(np.int64), RUN_TOKENS, 1) for f in found))
+
+
 def _packed(group: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, group.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -334,13 +372,13 @@ def extract(df: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                host, data = (batch.column(c)[i].as_py() for c in ("_host", "data"))
+                host, data, shared, notices = (batch.column(c)[i].as_py() for c in ("_host", "data", "shared", "notices"))
                 table, cut = _unpacked(data)
-                yield from named(table, host, _host_texts(cut)).combine_chunks().to_batches()
+                yield from named(table, host, _shard_texts(cut, shared or [], notices or [])).combine_chunks().to_batches()
 
     if not large.isEmpty():
         shards = written(distinct(placed.where("_pages > 0")).applyInArrow(pack, "_host string, _shard int, _pages long, data binary"), "shards")
-        ready = shards.select("_host", "data")
+        ready = shards.join(_common_runs(shards), "_host", "left").select("_host", "data", "shared", "notices")
         texts = texts.unionByName(ready.mapInArrow(finish, with_text))
     out = ["page_id", "url", "text", "n_chars"]
     repeated = written(known.where("_rows > 1").select("_host", "_digest"), "repeated")
@@ -351,3 +389,41 @@ def extract(df: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     copied = written(texts.join(repeated, key, "left_semi").select(*key, "text", "n_chars"), "copied")
     again = rows.select("page_id", "url", *key).join(copied, key).select(out)
     return texts.join(repeated, key, "left_anti").select(out).unionByName(again)
+
+
+def _common_runs(shards: DataFrame) -> DataFrame:
+    """(_host, shared, notices): hashes of the runs on enough pages of each host, of its shards (_host, _pages, data)."""
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cut = _unpacked(batch.column("data")[i].as_py())[1]
+                pages = batch.column("_pages")[i].as_py()
+                runs, n = _page_counts(cut)
+                runs = runs[n * pages >= _least(pages)[0] * len(cut)]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("_host")[i].as_py()] * len(runs), pa.string()), pa.array(runs)], names=["_host", "run"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                host, pages, data, wanted = (batch.column(c)[i].as_py() for c in ("_host", "_pages", "data", "wanted"))
+                runs, n = _page_counts(_unpacked(data)[1])
+                if wanted is not None:
+                    among = np.isin(runs, np.asarray(wanted, dtype=np.int64))
+                    runs, n = runs[among], n[among]
+                least = _least(pages)
+                same = [pa.array([v] * len(runs), t) for v, t in ((host, pa.string()), (least[0], pa.int64()), (least[1], pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(runs), pa.array(n, pa.int64())], names=["_host", "least", "most", "run", "n"])
+
+    candidates = written(shards.select("_host", "_pages", "data").mapInArrow(frequent, "_host string, run long").distinct(), "candidates")
+    numbers = candidates.groupBy("_host").agg(F.count(F.lit(1)).alias("_n"))
+    few = candidates.join(numbers.where(F.col("_n") <= MANY_RUNS).select("_host"), "_host", "left_semi")
+    lists = few.groupBy("_host").agg(F.collect_list("run").alias("wanted"))
+    # a host without candidates has no such run; one of too many counts them all
+    asked = written(numbers.join(lists, "_host", "left").select("_host", "wanted"), "wanted")
+    counted = shards.select("_host", "_pages", "data").join(asked, "_host").select("_host", "_pages", "data", "wanted")
+    totals = counted.mapInArrow(count, "_host string, least long, most long, run long, n long").groupBy("_host", "least", "most", "run").agg(F.sum("n").alias("n"))
+    return written(
+        totals.where("n >= least").groupBy("_host").agg(F.collect_list("run").alias("shared"), F.collect_list(F.expr("if(n >= most, run, null)")).alias("notices")),
+        "runs",
+    )

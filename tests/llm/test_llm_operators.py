@@ -263,6 +263,26 @@ def test_extract_rows(spark):
     assert got == sorted([(1, "http://h/1", "x", 1)] * 2 + [(None, None, "", 0), (2, "bad", "", 0)], key=str)
 
 
+def test_extract_copies_and_shards(spark, monkeypatch):
+    rnd = random.Random(13)
+    menu, notice = prose(rnd, 12, 10**6), prose(rnd, 12, 10**6)
+    own = [prose(rnd, 40, 10**6) for _ in range(60)]
+    pages = [f"<article><p>{notice}</p><p>{t}</p></article>" for t in own[:40]] + [f"<p>{menu}</p><p>{t}</p>" if k < 7 else f"<p>{t}</p>" for k, t in enumerate(own[40:])]
+    want = html_extract.extract_pages(pages)
+    assert html_extract.extract_pages(["<p>two words"]) == ["two words"]  # fewer tokens than a run
+    assert html_extract.run_hashes(np.array([1, 2, -1]), 8)[1].sum() == 0
+    assert want == own  # on 40 of 60 pages, and on 7, of a host
+    rows = [(k, "http://h/", p) for k, p in enumerate(pages)] + [(1000 + k, "http://h/x", pages[0]) for k in range(300)] + [(2000, "http://g/", pages[0])]
+    df = spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING")
+    for many in (1_000_000, 3):
+        monkeypatch.setattr(html_extract, "MANY_RUNS", many, raising=False)
+        got = {r.page_id: (r.url, r.text, r.n_chars) for r in html_extract.extract(df, shard_bytes=1500).collect()}
+        assert len(got) == len(rows)
+        assert all(got[k] == ("http://h/", t, len(t)) for k, t in enumerate(want))
+        assert all(got[1000 + k] == ("http://h/x", want[0], len(want[0])) for k in range(300))
+        assert got[2000][1] == f"{notice}\n\n{own[0]}"
+
+
 def test_copies_are_packed_once(spark, monkeypatch):
     tables, write = {}, html_extract.written
     monkeypatch.setattr(html_extract, "written", lambda df, name: tables.setdefault(name, write(df, name)))
