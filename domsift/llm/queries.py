@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domsift.llm import chat_format, decontaminate, html_extract, jaccard, packing, token_counts, topk, toxicity, url_filter, warc
+from domsift.llm import (
+    align,
+    chat_format,
+    decontaminate,
+    html_extract,
+    jaccard,
+    packing,
+    phrases,
+    quality,
+    token_counts,
+    topk,
+    toxicity,
+    url_filter,
+    warc,
+)
 from domsift.llm.common import shared_path, table
 
 QUERIES = {}
@@ -146,3 +160,92 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op11_phrases"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+           FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+worded AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+spans AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
+sized AS (SELECT lang, w, i, unnest(range(1, 6)) AS k FROM spans),
+f AS (SELECT lang, w[i:i + k - 1] AS p, count(*) AS a FROM sized WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w)) AS n FROM worded GROUP BY lang),
+cand AS (SELECT * FROM f WHERE len(p) > 1),
+cuts AS (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM cand),
+scored AS (
+  SELECT c.lang, c.p, c.a, c.k, l.a AS l, r.a AS r, n.n,
+         (1000::HUGEINT * c.a * n.n) // (l.a::HUGEINT * r.a) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.p = c.p[1:c.k]
+  JOIN f r ON r.lang = c.lang AND r.p = c.p[c.k + 1:] JOIN n ON n.lang = c.lang),
+low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+sub AS (SELECT lang, a, p, unnest(range(2, len(p))) AS k FROM cand),
+inside AS (SELECT lang, a, p, k, unnest(range(1, len(p) - k + 2)) AS i FROM sub),
+cover AS (SELECT lang, p[i:i + k - 1] AS p, max(a) AS most FROM inside GROUP BY ALL),
+ranked AS (
+  SELECT low.lang, array_to_string(low.p, ' ') AS phrase, low.a, l, r, n, score,
+         row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, low.a DESC, array_to_string(low.p, ' ')) AS rank
+  FROM low LEFT JOIN cover ON cover.lang = low.lang AND cover.p = low.p
+  WHERE most IS NULL OR 100 * most < 100 * low.a)
+SELECT lang, rank, phrase, a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+
+@query
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("cleaned")
+
+
+ORACLE_SQL["op12_quality_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT r, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM d),
+starts AS (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM words WHERE len(w) > 8),
+windows AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS k FROM starts),
+twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
+covered AS (SELECT DISTINCT r, unnest(range(i, i + 8)) AS at FROM twice),
+repeats AS (SELECT r, count(*) AS n FROM covered GROUP BY r),
+cut AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+lines AS (
+  SELECT r, line, count(*) AS times, any_value(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS w
+  FROM cut WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r, line),
+figures AS (
+  SELECT r, line, times, len(w) AS n, length(array_to_string(w, '')) AS chars,
+         len(regexp_extract_all(line, '<MARKS>')) AS marks,
+         len(regexp_extract_all(line, '[|»›•·→]')) AS menu,
+         len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS echoes,
+         regexp_matches(rtrim(translate(right(line, 12), chr(9) || chr(11) || chr(12) || chr(13), '    ')), '<CLOSED>') AS closed,
+         len(list_filter([<PHRASES>], lambda p: contains(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), p))) > 0 AS standing
+  FROM lines),
+tried AS (
+  SELECT *, CASE WHEN NOT closed OR 10 * marks > 3 * n THEN 'punctuation'
+                 WHEN menu >= 2 AND 4 * menu >= n THEN 'navigation'
+                 WHEN (n <= 30 AND standing) OR 10 * echoes > 3 * n THEN 'boilerplate' END AS rule
+  FROM figures),
+fate AS (
+  SELECT r, sum(times) - count(*) AS n_dup_lines, count(*) FILTER (WHERE rule = 'punctuation') AS n_punctuation,
+         count(*) FILTER (WHERE rule = 'navigation') AS n_navigation, count(*) FILTER (WHERE rule = 'boilerplate') AS n_boilerplate,
+         coalesce(sum(chars) FILTER (WHERE rule IS NULL), 0) AS left_chars
+  FROM tried GROUP BY r),
+based AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+         CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words,
+         coalesce(n_punctuation, 0) AS n_punctuation, coalesce(n_navigation, 0) AS n_navigation, coalesce(n_boilerplate, 0) AS n_boilerplate,
+         CAST(coalesce(left_chars, 0) AS BIGINT) AS left_chars,
+         len(w) < 20 OR 100 * coalesce(repeats.n, 0) > 30 * len(w) AS base_failed
+  FROM d JOIN words USING (r) LEFT JOIN fate USING (r) LEFT JOIN repeats USING (r))
+SELECT *, NOT base_failed AND 100 * (word_chars - left_chars) <= 50 * word_chars AS kept FROM based
+""".replace("<MARKS>", quality.MARKS).replace("<CLOSED>", quality.CLOSED.replace("'", "''")).replace(
+    "<PHRASES>", ", ".join(f"'{p}'" for p in quality.PHRASES)
+)
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignments(table(spark, sf_dir, "documents"))
