@@ -43,6 +43,8 @@ MIN_REVISIT = 1000
 ROLL_BYTES = 16 << 20
 SHARD_BYTES = 64 << 20
 CELLS = 4096
+#: What the reader hands to the decompressor at a time.
+READ_BYTES = 1 << 14
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("5d0d6d0c-52b5-4a2c-9d55-0f6b7a1e1c11")
@@ -210,13 +212,23 @@ def _commit(path: str, files: list[dict]) -> dict:
     return manifest
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of one archive file, a gzip member at a time."""
-    while data:
-        member = zlib.decompressobj(31)
-        raw = member.decompress(data)
-        data = member.unused_data
-        head, _, rest = raw.partition(b"\r\n\r\n")
+def parse(data: bytes, step: int = READ_BYTES) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of one archive file, a gzip member at a time.
+
+    A member is fed ``step`` bytes at a time, so what it leaves for the next one
+    is no more than that, however long the file.
+    """
+    view, at, left = memoryview(data), 0, b""
+    while left or at < len(view):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            if not left:
+                if at >= len(view):
+                    raise ValueError("archive ends inside a record")
+                left, at = view[at : at + step], at + step
+            parts.append(member.decompress(left))
+            left = member.unused_data
+        head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         headers = dict(line.split(": ", 1) for line in lines[1:])
         yield headers, rest[: int(headers["Content-Length"])]
