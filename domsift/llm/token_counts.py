@@ -48,8 +48,8 @@ def count_tokens(
     """Per row: id, n_bytes, n_tokens, over_limit and kept_chars.
 
     ``kept_chars``: code points of the longest prefix of no more than ``limit``
-    tokens. ``with_store`` adds ``store``, the counts at the end of each
-    white-space separated chunk, from which ``PrefixCounts.at`` and
+    tokens. ``with_store`` adds ``store``, the counts at the end of each word of
+    the tokenizer's cut, from which ``PrefixCounts.at`` and
     ``PrefixCounts.longest`` answer any other prefix or budget.
     """
     path = tokenizer or default_tokenizer()

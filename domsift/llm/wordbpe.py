@@ -3,7 +3,9 @@
 The file's pre-tokenizer cuts a text into words that are encoded one by one, so
 ids and counts of a text are those of its words. Both helpers remember words in
 a bounded dictionary; texts with special strings or characters beyond Latin
-Extended-A take the library's own normaliser and pre-tokenizer instead.
+Extended-A are cut by the library's own normaliser and pre-tokenizer instead.
+All this holds for one way of normalising and cutting, which is looked up in the
+file: ids of any other file come from the library, counts are refused.
 """
 
 from __future__ import annotations
@@ -15,8 +17,8 @@ import struct
 
 import numpy as np
 
-#: Words remembered by one Python worker; beyond it the dictionary starts anew.
-CACHE_WORDS = 100_000
+#: Words remembered by one Python worker since the dictionary was last full, besides as many from before.
+CACHE_WORDS = 150_000
 
 # Among these characters lower-casing maps one character to one, composing
 # changes nothing, and Python's white space is the library's.
@@ -26,7 +28,10 @@ _UNUSUAL = re.compile("[^\x00-\x1b\x20-įı-ſ]")
 _BLACK = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 # the tokenizer's word pattern, spelled out for the characters of ``plain`` texts
 _LETTERS, _NUMBERS = "a-zªµºß-öø-ÿĀ-ſ", "0-9²³¹¼½¾"
-_LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+_LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
+# fixed values: the normaliser and the word pattern that this module knows
+_NORMALISER = ["NFC", "Replace \\s+  ", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # byte-level alphabet (fixed by the format): visible bytes stand for themselves, the rest follow from U+0100
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
@@ -56,32 +61,39 @@ def _byte_letters(word: str) -> str:
     return word.encode().decode("latin-1").translate(_BYTE_LETTERS)
 
 
-def _plain_words(chunk: str) -> list[str]:
-    """Words of a lower-case chunk of a plain text, in byte letters."""
-    if chunk.isascii():
-        if chunk.isalpha():
-            return [chunk]
-        if chunk[:-1].isalpha() and chunk[-1].isprintable():
-            return [chunk[:-1], chunk[-1]]
-    return [_byte_letters(w) for w in _LATIN_WORDS.findall(chunk)]
-
-
 class _Bounded(dict):
-    """A dictionary that computes what it misses and never outgrows its limit."""
+    """A dictionary that computes what it misses and never outgrows twice its limit.
+
+    When it is full it becomes the older one; what is asked for again comes back
+    from there, so frequent words are never worked out twice.
+    """
 
     def __init__(self, compute, limit: int = CACHE_WORDS):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.older = compute, limit, {}
 
     def __missing__(self, key):
-        value = self.compute(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
         if not isinstance(key, str) or len(key) <= _KEEP_CHARS:
             self[key] = value
         return value
 
 
+def _known_cut(path: str) -> bool:
+    with open(path, encoding="utf-8") as f:
+        given = json.load(f)
+    steps = (given.get("normalizer") or {}).get("normalizers", [])
+    names = [" ".join([n["type"], *([n["pattern"].get("Regex", ""), n["content"]] if "pattern" in n else [])]) for n in steps]
+    cuts = (given.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = len(cuts) == 2 and cuts[0].get("pattern") == {"Regex": _SPLIT} and cuts[0].get("invert") and cuts[0].get("behavior") == "Removed"
+    return bool(names == _NORMALISER and split and cuts[1] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False})
+
+
 class _Chunks:
     """Cuts a text at white space and around special strings.
 
@@ -93,15 +105,11 @@ class _Chunks:
         self.tokenizer = load(path)
         self.special = frozenset(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.known = _known_cut(path)
 
     def plain(self, text: str) -> bool:
         return not (_UNUSUAL.search(text) or any(s in text for s in self.special) or any(s in text.lower() for s in self.special))
 
-    def chunks(self, text: str) -> list[str]:
-        if self.plain(text):
-            return text.lower().split()
-        return [text[a:b] for a, b in self.spans(text)]
-
     def spans(self, text: str) -> list[tuple[int, int]]:
         """(start, end) of each chunk, in code points."""
         out = []
@@ -132,22 +140,28 @@ class WordIds(_Chunks):
 
     def __init__(self, path: str):
         super().__init__(path)
+        self.packed = [struct.pack("<I", i) for i in range(max(self.tokenizer.get_vocab(True).values()) + 1)]
         self.of_word = _Bounded(self._word)
         self.of_chunk = _Bounded(self._chunk)
-        self.of_plain = _Bounded(lambda chunk: b"".join([self.of_word[w] for w in _plain_words(chunk)]))
 
     def _word(self, word: str) -> bytes:
-        ids = [t.id for t in self.tokenizer.model.tokenize(word)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        """Ids of a word of a plain text."""
+        return self._letters(_byte_letters(word))
+
+    def _letters(self, letters: str) -> bytes:
+        return b"".join([self.packed[t.id] for t in self.tokenizer.model.tokenize(letters)])
 
     def _chunk(self, chunk: str) -> bytes:
         if chunk in self.special:
-            return np.array([self.tokenizer.token_to_id(chunk)], dtype="<u4").tobytes()
-        return b"".join([self.of_word[w] for w, _, _ in self.words(chunk)])
+            return self.packed[self.tokenizer.token_to_id(chunk)]
+        return b"".join([self._letters(w) for w, _, _ in self.words(chunk)])
 
     def ids(self, text: str) -> bytes:
-        of = self.of_plain if self.plain(text) else self.of_chunk
-        return b"".join(map(of.__getitem__, self.chunks(text)))
+        if not self.known:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if self.plain(text):
+            return b"".join(map(self.of_word.__getitem__, _LATIN_WORDS.findall(text.lower())))
+        return b"".join([self.of_chunk[text[a:b]] for a, b in self.spans(text)])
 
 
 class PrefixCounts(_Chunks):
@@ -159,22 +173,32 @@ class PrefixCounts(_Chunks):
     (tokens are what byte-pair encoding gives exactly if every neighbouring pair
     of them is). Prefixes are tabulated open, and closed by the end-of-word
     suffix. Across words the counts add up, so the store of a text is the
-    running sum at its chunk ends plus the table of the chunk that is asked for.
+    running sum at its words' ends plus the table of the word that is asked for.
     """
 
     def __init__(self, path: str):
         super().__init__(path)
+        if not self.known:
+            raise ValueError(f"{path} normalises or cuts texts in a way that prefix counts are not known for")
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.suffix = model["end_of_word_suffix"]
         self.vocab = frozenset(model["vocab"])
-        self.widest = max(map(len, self.vocab))
+        # lengths of the entries that end in some two letters (or are one), longest first, by whether they close a word
+        self.lengths: dict[tuple[bool, str], list[int]] = {}
+        for entry in self.vocab:
+            closed = entry.endswith(self.suffix)
+            letters = entry.removesuffix(self.suffix)
+            found = self.lengths.setdefault((closed, letters[-2:]), [])
+            if len(letters) not in found:
+                found.append(len(letters))
+        for found in self.lengths.values():
+            found.sort(reverse=True)
         self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
         self.valid = _Bounded(self._pair_is_valid)
         self.open = _Bounded(lambda w: self._step(w, closed=False))
-        self.of_word = _Bounded(lambda w: self._word(w, [len(w)])[0])
+        self.of_word = _Bounded(lambda word: self._whole(_byte_letters(word)))
         self.of_chunk = _Bounded(self._chunk)
-        self.of_plain = _Bounded(lambda chunk: sum([self.of_word[w] for w in _plain_words(chunk)]))
 
     # -- inside a word; words are in the model's byte letters -----------------
     def _merge(self, text: str, closed: bool) -> list[str]:
@@ -199,7 +223,7 @@ class PrefixCounts(_Chunks):
         if not word:
             return "", 0
         end = self.suffix if closed else ""
-        for j in range(max(0, len(word) - self.widest), len(word)):
+        for j in self._begins(word, len(word), closed):
             token = word[j:]
             if token + end in self.vocab:
                 last, count = self.open[word[:j]]
@@ -207,6 +231,11 @@ class PrefixCounts(_Chunks):
                     return token, count + 1
         raise ValueError(f"no encoding of {word!r}")
 
+    def _begins(self, word: str, i: int, closed: bool) -> list[int]:
+        """Where an entry that ends at ``i`` may begin, the longest first."""
+        lengths = [*self.lengths.get((closed, word[i - 2 : i]), ()), 1] if i > 1 else [1]
+        return [i - n for n in lengths if n <= i]
+
     def _word(self, word: str, ends: list[int]) -> list[int]:
         """Token counts of the word's prefixes that end at ``ends`` (ascending)."""
         if len(word) <= _KEEP_CHARS:  # prefixes are shared with other words
@@ -223,45 +252,79 @@ class PrefixCounts(_Chunks):
     def _begin(self, word: str, i: int, last: list[str], closed: bool) -> int:
         """Where the last token of ``word[:i]`` begins, by a table of this word alone."""
         end = self.suffix if closed else ""
-        for j in range(max(0, i - self.widest), i):
+        for j in self._begins(word, i, closed):
             if word[j:i] + end in self.vocab and self.valid[(last[j], word[j:i], closed)]:
                 return j
         raise ValueError(f"no encoding of {word[:i]!r}")
 
+    def _whole(self, letters: str) -> int:
+        return self._word(letters, [len(letters)])[0]
+
+    def _whole(self, letters: str) -> int:
+        return self._word(letters, [len(letters)])[0]
+
     # -- inside a chunk --------------------------------------------------------
-    def _chunk(self, chunk: str) -> int:
+    def _chunk(self, chunk: str) -> list[tuple[int, int, int]]:
+        """(start, end, tokens) of each word of a chunk; words that share a character are one.
+
+        A character that joined the one before it is part of the word before.
+        """
         if chunk in self.special:
-            return 1
-        return sum(self.of_word[w] for w, _, _ in self.words(chunk))
-
-    def chunk_prefixes(self, chunk: str) -> list[int]:
-        """Token counts of ``chunk[:m]`` for m = 0 .. len(chunk)."""
-        if not self.plain(chunk):
-            return [self._chunk(chunk[:m]) if chunk[:m] not in self.special else 1 for m in range(len(chunk) + 1)]
-        out, base = [0], 0
-        for word, a, b in self.words(chunk):
-            ends = np.cumsum([len(c.encode()) for c in chunk[a:b]]).tolist()
-            inside = self._word(word, ends)
-            if b - a > 2 and chunk[a] == "'":  # the cut of a contraction is two words
-                inside[:-1] = [self._chunk(chunk[a : a + m]) for m in range(1, b - a)]
-            out += [base + n for n in inside]
-            base += inside[-1]
+            return [(0, len(chunk), 1)]
+        out: list[tuple[int, int, int]] = []
+        for word, a, b in [*self.words(chunk), ("", len(chunk), len(chunk))]:
+            n = self._whole(word) if word else 0
+            if out and (a < out[-1][1] or not word):
+                out[-1] = (out[-1][0], max(b, out[-1][1]), out[-1][2] + n)
+            elif word:
+                if out:
+                    out[-1] = (out[-1][0], a, out[-1][2])
+                out.append((a if out else 0, b, n))
         return out
 
+    def _recount(self, piece: str) -> int:
+        return sum(n for _, _, n in self._chunk(piece))
+
+    def inside(self, piece: str) -> list[int]:
+        """Token counts of ``piece[:m]`` for m = 0 .. len(piece), of one word of a text.
+
+        Where each character is normalised by itself, so are the word's prefixes,
+        and one table gives them all. What is left are special strings, cuts of
+        contractions and words with characters that join.
+        """
+        if self.plain(piece) and piece == piece.lower():
+            parts, single = list(piece), not (len(piece) > 2 and piece[0] == "'")
+        else:
+            normal = self.tokenizer.normalizer.normalize_str
+            parts = [normal(c) for c in piece]
+            single = piece not in self.special and [w for w, _, _ in self.words(piece)] == [_byte_letters("".join(parts))]
+        if not single:
+            return [0, *[self._recount(piece[:m]) for m in range(1, len(piece) + 1)]]
+        return [0, *self._word(_byte_letters("".join(parts)), np.cumsum([len(p.encode()) for p in parts]).tolist())]
+
     # -- the whole text --------------------------------------------------------
     def store(self, text: str) -> np.ndarray:
-        """Token counts at the end of each chunk."""
-        of = self.of_plain if self.plain(text) else self.of_chunk
-        return np.cumsum(np.fromiter(map(of.__getitem__, self.chunks(text)), dtype=np.int64))
+        """Token counts at the end of each word."""
+        if self.plain(text):
+            counts = np.fromiter(map(self.of_word.__getitem__, _LATIN_WORDS.findall(text.lower())), dtype=np.int64)
+        else:
+            counts = np.array([n for a, b in self.spans(text) for _, _, n in self.of_chunk[text[a:b]]], dtype=np.int64)
+        return np.cumsum(counts)
+
+    def word_spans(self, text: str) -> list[tuple[int, int]]:
+        """(start, end) of each word that the store counts."""
+        if self.plain(text):
+            return [m.span() for m in _LATIN_WORDS.finditer(text.lower())]
+        return [(a + i, a + j) for a, b in self.spans(text) for i, j, _ in self.of_chunk[text[a:b]]]
 
     def at(self, text: str, store: np.ndarray, end: int) -> int:
         """Token count of ``text[:end]``."""
-        spans = self.spans(text)
+        spans = self.word_spans(text)
         k = sum(b <= end for _, b in spans)
         before = int(store[k - 1]) if k else 0
         if k < len(spans) and spans[k][0] < end:
             a, b = spans[k]
-            return before + self.chunk_prefixes(text[a:b])[end - a]
+            return before + self.inside(text[a:b])[end - a]
         return before
 
     def longest(self, text: str, store: np.ndarray, budget: int) -> int:
@@ -269,6 +332,6 @@ class PrefixCounts(_Chunks):
         if not len(store) or store[-1] <= budget:
             return len(text)
         k = int(np.searchsorted(store, budget, side="right"))
-        a, b = self.spans(text)[k]
+        a, b = self.word_spans(text)[k]
         left = budget - (int(store[k - 1]) if k else 0)
-        return a + max(m for m, n in enumerate(self.chunk_prefixes(text[a:b])) if n <= left)
+        return a + max(m for m, n in enumerate(self.inside(text[a:b])) if n <= left)

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from domsift.llm import chat_format, decontaminate, html_extract, jaccard, packing, token_counts, topk, toxicity, url_filter, warc
 from domsift.llm.components import connected_components
-from domsift.llm.wordbpe import PrefixCounts, WordIds, load
+from domsift.llm.wordbpe import PrefixCounts, WordIds, _Bounded, load
 
 DOCS = "doc_id LONG, text STRING, evidence INT, digest STRING, label STRING"  # extra columns that could clash
 
@@ -203,6 +204,24 @@ def odd_texts():
     return fixed + ["".join(rnd.choice(alphabet) for _ in range(30)) for _ in range(150)] + ["".join(chr(rnd.randrange(32, 384)) for _ in range(30)) for _ in range(100)]
 
 
+def test_records_are_read_whatever_the_step():
+    bodies = [b"", b"x", b"<p>" * 40_000, bytes(range(256)) * 30]
+    records = [warc.record(i, "http://h/", b, len(b), hashlib.sha1(b).hexdigest(), None) for i, b in enumerate(bodies)]
+    data = b"".join(map(warc._member, records))
+    for step in (1, 7, 1 << 14, 1 << 24):
+        got = [block.partition(b"\r\n\r\n")[2] for _, block in warc.parse(data, step)]
+        assert got == bodies
+    with pytest.raises(ValueError, match="inside a record"):
+        list(warc.parse(data[:-3]))
+    many, few = data * 800, data * 200
+    took = []
+    for archive in (few, many):
+        began = time.process_time()
+        assert sum(1 for _ in warc.parse(archive)) == 4 * len(archive) // len(data)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0]
+
+
 def test_prefix_counts_are_the_librarys():
     path = token_counts.default_tokenizer()
     library, counts, ids = load(path), PrefixCounts(path), WordIds(path)
@@ -219,6 +238,41 @@ def test_prefix_counts_are_the_librarys():
             assert counts.longest(text, store, budget) == max(k for k, n in enumerate(every) if n <= budget)
 
 
+def test_long_unspaced_texts_of_any_script():
+    path = token_counts.default_tokenizer()
+    library, counts, ids = load(path), PrefixCounts(path), WordIds(path)
+    rnd = random.Random(8)
+    for letters in ("中文字符很多", "日本語カナかな", "абвгдЖЁ", "ΑΒΓδέ", "한국어", "😀😃", "İıſß", "e\u0301o"):
+        text = "".join(rnd.choice(letters) for _ in range(120))
+        every = [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+        store = counts.store(text)
+        assert [counts.at(text, store, k) for k in range(len(text) + 1)] == every
+        assert counts.longest(text, store, 50) == max(k for k, n in enumerate(every) if n <= 50)
+    long = "".join(rnd.choice("中文字符很多") for _ in range(100_000))
+    began = time.process_time()
+    kept = counts.longest(long, counts.store(long), 2048)
+    assert time.process_time() - began < 10
+    assert len(library.encode(long[:kept], add_special_tokens=False).ids) <= 2048 < len(library.encode(long[: kept + 1], add_special_tokens=False).ids)
+    assert ids.ids(long) == np.array(library.encode(long, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_full_dictionary_keeps_what_is_in_use():
+    made = []
+    words = _Bounded(lambda k: made.append(k) or len(k), limit=3)
+    for i in range(50):
+        assert words["the"] == 3 and words[f"w{i}"] == len(f"w{i}")
+    assert made.count("the") == 1 and len(words) <= 3 and len(words.older) <= 3
+
+
+def test_other_tokenizer_files():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert WordIds(path).ids("Some Text, 12") == np.array(load(path).encode("Some Text, 12", add_special_tokens=False).ids, dtype="<u4").tobytes()
+    with pytest.raises(ValueError, match="not known"):
+        PrefixCounts(path)
+
+
 def test_count_tokens(spark):
     rows = [(1, "a b"), (1, "a b"), (None, None), (2, "word " * 3000)]
     got = sorted(map(tuple, token_counts.count_tokens(docs_of(spark, rows)).collect()), key=str)
