@@ -71,9 +71,9 @@ class Words:
         )
         coded = spelt.dictionary_encode()
         self.ids = coded.indices.to_numpy().astype(np.int32)
-        self.words: list[str] = coded.dictionary.to_pylist()
+        self.words = coded.dictionary.cast(pa.string())
         names, lang_of = np.unique(np.array(langs, dtype=object), return_inverse=True)
-        self.langs: list[str] = names.tolist()
+        self.langs = pa.array(names.tolist(), pa.string())
         text_of = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), begin, side="right")
         self.lang = lang_of[text_of].astype(np.int32)
         piece = np.searchsorted(np.flatnonzero(kind == 2), begin)
@@ -86,8 +86,8 @@ class Words:
         lang, word = np.divmod(both, max(1, len(self.words)))
         return pa.table(
             {
-                "lang": pa.array(self.langs, pa.string()).take(pa.array(lang)),
-                "word": pa.array(self.words, pa.string()).take(pa.array(word)),
+                "lang": self.langs.take(pa.array(lang)),
+                "word": self.words.take(pa.array(word)),
                 "n": pa.array(n, pa.int64()),
             }
         )
@@ -104,8 +104,9 @@ class Words:
 
     def leading(self, columns: np.ndarray) -> list[np.ndarray]:
         """Hashes of the language and the first k words, by k; alike on every machine."""
-        of_lang = pd.util.hash_array(np.array([*self.langs, ""], dtype=object), categorize=False)
-        of_word = pd.util.hash_array(np.array([*self.words, ""], dtype=object), categorize=False)
+        of_lang, of_word = (
+            pd.util.hash_array(np.append(listed.to_numpy(zero_copy_only=False), [""]), categorize=False) for listed in (self.langs, self.words)
+        )
         hashes = [of_lang[columns[0]]]
         for column in columns[1:]:
             mixed = (hashes[-1] ^ (hashes[-1] >> np.uint64(29))) * _MIX
@@ -172,17 +173,15 @@ def plan_routes(filled: np.ndarray, group: int) -> tuple[np.ndarray, int, int]:
 
 def _packed(words: Words, columns: np.ndarray, weight: np.ndarray) -> bytes:
     """Some suffixes with the words they use, as Arrow IPC bytes."""
-    out = {}
-    for name, listed, part in (("langs", words.langs, columns[:1]), ("words", words.words, columns[1:])):
+    arrays, places = [], []
+    for listed, part in ((words.langs, columns[:1]), (words.words, columns[1:])):
         used = np.zeros(len(listed) + 1, dtype=bool)
         used[part] = True
-        used[-1] = False
-        places = np.append(np.cumsum(used[:-1]) - 1, -1).astype(np.int32)
-        out[name] = [listed[i] for i in np.flatnonzero(used)]
-        out[name + "_at"] = places[part]
-    arrays = [pa.array([out["langs"]], pa.list_(pa.string())), pa.array([out["words"]], pa.list_(pa.string()))]
-    arrays += [pa.array([np.concatenate([out["langs_at"], out["words_at"]]).astype("<i4").tobytes()], pa.binary())]
-    arrays += [pa.array([weight.astype("<i4").tobytes()], pa.binary())]
+        used[-1] = False  # where a piece has ended
+        place = np.append(np.cumsum(used[:-1], dtype=np.int32) - 1, -1).astype(np.int32)
+        arrays.append(pa.ListArray.from_arrays([0, used.sum()], listed.take(pa.array(np.flatnonzero(used)))))
+        places.append(place[part])
+    arrays += [pa.array([numbers.astype("<i4").tobytes()], pa.binary()) for numbers in (np.concatenate(places), weight)]
     sink = pa.BufferOutputStream()
     batch = pa.RecordBatch.from_arrays(arrays, names=["langs", "words", "at", "weight"])
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
@@ -252,18 +251,24 @@ def sort_suffixes(columns: np.ndarray, weight: np.ndarray, least: int, depth: in
             stack.append((equal, d + 1))
 
 
-def _unpacked(packed: list[bytes]) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
-    lang_of, word_of, parts, weights = {}, {}, [], []
-    for data in packed:
-        batch = pa.ipc.open_stream(data).read_next_batch()
-        places = []
-        for number, listed in ((lang_of, batch.column(0)[0].as_py()), (word_of, batch.column(1)[0].as_py())):
-            places.append(np.array([number.setdefault(w, len(number)) for w in listed] + [-1], dtype=np.int32))
-        weight = np.frombuffer(batch.column(3)[0].as_py(), "<i4")
-        at = np.frombuffer(batch.column(2)[0].as_py(), "<i4").reshape(-1, len(weight))
-        parts.append(np.concatenate([places[0][at[:1]], places[1][at[1:]]]))
+def _unpacked(packed: list[bytes]) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
+    """Languages, words and suffixes of several packs, under one numbering."""
+    batches = [pa.ipc.open_stream(data).read_next_batch() for data in packed]
+    listed, numbers = [], []
+    for name in ("langs", "words"):
+        parts = [batch[name].flatten() for batch in batches]
+        coded = pa.concat_arrays(parts).dictionary_encode()
+        listed.append(coded.dictionary)
+        of_all = coded.indices.to_numpy()
+        ends = np.cumsum([len(p) for p in parts])
+        numbers.append([np.append(of_all[end - len(p) : end], -1) for p, end in zip(parts, ends)])
+    suffixes, weights = [], []
+    for batch, of_lang, of_word in zip(batches, *numbers):
+        weight = np.frombuffer(batch["weight"][0].as_py(), "<i4")
+        at = np.frombuffer(batch["at"][0].as_py(), "<i4").reshape(-1, len(weight))
+        suffixes.append(np.concatenate([of_lang[at[:1]], of_word[at[1:]]]))
         weights.append(weight)
-    return list(lang_of), list(word_of), np.concatenate(parts, axis=1), np.concatenate(weights).astype(np.int64)
+    return *listed, np.concatenate(suffixes, axis=1), np.concatenate(weights).astype(np.int64)
 
 
 def count_phrases(df: DataFrame, longest: int = LONGEST, least: int = LEAST, buckets: int = BUCKETS, group: int = GROUP_SUFFIXES):
@@ -280,8 +285,8 @@ def count_phrases(df: DataFrame, longest: int = LONGEST, least: int = LEAST, buc
         found = list(sort_suffixes(columns, weight, least, table["depth"][0].as_py()))
         return pa.table(
             {
-                "lang": pa.array([langs[key[0]] for key, _ in found], pa.string()),
-                "phrase": pa.array([" ".join([words[i] for i in key[1:]]) for key, _ in found], pa.string()),
+                "lang": pa.array([langs[int(key[0])].as_py() for key, _ in found], pa.string()),
+                "phrase": pa.array([" ".join([words[i].as_py() for i in key[1:].tolist()]) for key, _ in found], pa.string()),
                 "words": pa.array([len(key) - 1 for key, _ in found], pa.int32()),
                 "n": pa.array([n for _, n in found], pa.int64()),
             }
