@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from domsift.functions.dns import SUCCESS, dns_status
+from domsift.operators.dedup import epoch_micros
+from domsift.operators.scan import BUCKET_SECONDS, look
 
 ENRICHMENT_TYPE = "array<struct<ip:string,as_number:bigint,as_name:string,country_code:string>>"
 
@@ -28,6 +30,40 @@ def attach_dns(feed: DataFrame, dns: DataFrame, domain: str = "domain") -> DataF
     return feed.join(dns, domain, "inner")
 
 
+def attach_dns_within(
+    feed: DataFrame, dns: DataFrame, horizon_seconds: float, domain: str = "domain", seen: str = "seen_at",
+    observed: str = "observed_at", order: str | None = None, bucket_seconds: float = BUCKET_SECONDS,
+) -> DataFrame:
+    """Each name seen with its first successful answer from then on, at most ``horizon_seconds`` later.
+
+    Names without such an answer leave the pipeline; an answer from before the
+    name was seen doesn't count. Answers of equal time go by ``order``. Names and
+    answers are put in one line per name and looked along in time buckets, so no
+    pairs of a name's rows with a name's answers are formed. Adds the answer's
+    columns; names that both sides have must be renamed before.
+    """
+    added = [c for c in dns.columns if c != domain]
+    taken = set(added) & set(feed.columns)
+    if taken:
+        raise ValueError(f"both sides have columns {sorted(taken)}")
+    answers = dns.where(dns_status() == F.lit(SUCCESS))
+    ask = feed.select(
+        F.col(domain).alias("_d"), epoch_micros(feed, seen).alias("_at"), F.lit(0).alias("_kind"), F.struct(*feed.columns).alias("_row"),
+        F.lit(None).cast(answers.select(F.struct(*added).alias("s")).schema["s"].dataType).alias("_answer"),
+        F.lit(None).cast(dns.schema[order].dataType if order else "int").alias("_o"),
+    )
+    told = answers.select(
+        F.col(domain).alias("_d"), epoch_micros(dns, observed).alias("_at"), F.lit(1).alias("_kind"),
+        F.lit(None).cast(ask.schema["_row"].dataType).alias("_row"), F.struct(*added).alias("_answer"),
+        (F.col(order) if order else F.lit(None).cast("int")).alias("_o"),
+    )
+    both = ask.unionByName(told).where("_at is not null")
+    met = F.when(F.col("_kind") == 1, F.struct(F.col("_at").alias("at"), F.col("_answer").alias("answer")))
+    looked = look(both, ["_d"], F.col("_at"), met, "_next", ["_kind", "_o"], ahead=True, bucket_seconds=bucket_seconds)
+    within = F.col("_next.at") - F.col("_at") <= F.lit(int(round(horizon_seconds * 1_000_000)))
+    return looked.where((F.col("_kind") == 0) & F.col("_d").isNotNull() & within).select("_row.*", "_next.answer.*")
+
+
 def build_alerts(df: DataFrame, ts: str = "seen_at", first_resolution: str | None = None) -> DataFrame:
     """Project the alert record: ``timestamp, domain, source_tag, resolved_after_nxdomain, dns, enrichment``.
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from domsift.functions.text import tags_key
+from domsift.operators.scan import look
+from domsift.operators.store import stored
 
 # Parts of the repeat key.
 FIRST_RESOLUTION_MARK = "FIRST_RESOLUTION"
@@ -54,51 +53,55 @@ def epoch_micros(df: DataFrame, ts: str) -> Column:
     return F.unix_micros(F.col(ts))
 
 
-def _greedy(ttl_us: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur_key = None
-        last = None
-        for pdf in batches:
-            passed = []
-            for k, t in zip(pdf["_k"].tolist(), pdf["_t"].tolist()):
-                if k != cur_key:
-                    cur_key, last = k, None
-                if t != t or t is None:  # without a time: passes, holds nothing back
-                    passed.append(True)
-                elif last is None or t >= last + ttl_us:
-                    last = t
-                    passed.append(True)
-                else:
-                    passed.append(False)
-            pdf = pdf.assign(passed=passed)
-            yield pdf
-
-    return run
-
-
-def suppress_repeats(
-    df: DataFrame,
-    key: str,
-    ts: str,
-    ttl_seconds: float,
-    order: str | None = None,
-    partitions: int | None = None,
-) -> DataFrame:
+def suppress_repeats(df: DataFrame, key: str, ts: str, ttl_seconds: float, order: str | None = None) -> DataFrame:
     """Flag each row ``passed``: first per key, then repeats held back until
     ``ttl`` after the last *passed* row (a repeat does not renew the hold).
 
-    The rule is greedy, so it cannot be a window function.  Rows are hash-
-    partitioned by key, sorted by ``(key, ts, order)`` inside each partition
-    and scanned by a vectorised iterator that keeps only the current key's
-    last passed time: memory is O(1) per task whatever a key's size, and the
-    scan streams Arrow batches.  Expiry at exactly ``ttl`` passes.  A row
-    without a time passes and holds nothing back.
+    The rule is greedy: which row passes depends on the one that passed before.
+    A time of a key passes surely if the time before it lies ``ttl`` back or more
+    (a root). From any time that passes, the next to pass is the first one at or
+    after ``ttl`` later; these links are looked up inside (key, time bucket), so
+    a hot key is spread over all tasks. Times on the chains that begin at roots
+    are marked by pointer doubling, in as many rounds as the longest chain has
+    binary digits. Links into roots are left out, as are those that nothing on a
+    chain can reach.
+
+    Expiry at exactly ``ttl`` passes. Of rows of one key and time the first by
+    ``order`` can pass. A row without a time passes and holds nothing back. Rows
+    without a key are one key.
     """
     ttl_us = int(round(ttl_seconds * 1_000_000))
-    tie = [order] if order else []
-    staged = df.withColumn("_k", F.col(key).cast("string")).withColumn("_t", epoch_micros(df, ts))
-    parted = staged.repartition(partitions, "_k") if partitions else staged.repartition("_k")
-    ordered = parted.sortWithinPartitions("_k", "_t", *tie)
-    schema = T.StructType(staged.schema.fields + [T.StructField("passed", T.BooleanType(), False)])
-    out = ordered.mapInPandas(_greedy(ttl_us), schema)
-    return out.drop("_k", "_t")
+    if ttl_us <= 0:
+        return df.withColumn("passed", F.lit(True))
+    keyed = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+    rows = stored(df.withColumn("_k", keyed).withColumn("_t", epoch_micros(df, ts)), "repeats")
+    times = passing_times(rows.where("_t is not null").select("_k", "_t"), ttl_us).withColumn("_hit", F.lit(True))
+    same = Window.partitionBy("_k", "_t").orderBy(*([order] if order else ["_t"]))
+    flagged = rows.join(times, ["_k", "_t"], "left").withColumn("_n", F.row_number().over(same))
+    passed = F.col("_t").isNull() | (F.coalesce(F.col("_hit"), F.lit(False)) & (F.col("_n") == 1))
+    return flagged.select(*df.columns, passed.alias("passed"))
+
+
+def passing_times(times: DataFrame, ttl_us: int) -> DataFrame:
+    """The (``_k``, ``_t``) of a table of keys and times that the greedy rule lets pass."""
+    points = times.distinct()
+    width = ttl_us / 1_000_000
+    t = F.col("_t")
+    before = look(points, ["_k"], t, t, "_before", bucket_seconds=width)
+    points = stored(before.select("_k", "_t", (t - F.coalesce("_before", t - ttl_us) >= ttl_us).alias("root")), "points")
+    # each time asks at t + ttl for the first time there or later
+    asked = points.where("not root").select("_k", t.alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("a"))
+    asked = asked.unionByName(points.select("_k", (t + ttl_us).alias("_at"), F.lit(0).alias("_kind"), t.alias("a")))
+    asked = asked.unionByName(points.where("root").select("_k", t.alias("_at"), F.lit(2).alias("_kind"), F.lit(None).cast("bigint").alias("a")))
+    there = F.when(F.col("_kind") > 0, F.struct(F.col("_at").alias("t"), (F.col("_kind") == 2).alias("root")))
+    told = look(asked, ["_k"], F.col("_at"), there, "_next", ["_kind"], ahead=True, bucket_seconds=width)
+    links = stored(told.where("_kind = 0 and not _next.root").select("_k", "a", F.col("_next.t").alias("b")), "links")
+    reached = points.where("root").select("_k", "_t")
+    starts = reached.unionByName(links.select("_k", F.col("b").alias("_t"))).distinct()
+    jumps = stored(links.join(starts.withColumnRenamed("_t", "a"), ["_k", "a"], "left_semi"), "jumps")
+    while not jumps.isEmpty():
+        more = reached.join(jumps, (reached["_k"] == jumps["_k"]) & (reached["_t"] == jumps["a"])).select(jumps["_k"], F.col("b").alias("_t"))
+        reached = stored(reached.unionByName(more).distinct(), "reached")
+        then = jumps.select(F.col("_k").alias("_k2"), F.col("a").alias("b2"), F.col("b").alias("c"))
+        jumps = stored(jumps.join(then, (F.col("_k") == F.col("_k2")) & (F.col("b") == F.col("b2"))).select("_k", "a", F.col("c").alias("b")), "jumps")
+    return reached

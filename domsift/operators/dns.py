@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from domsift.functions.dns import NXDOMAIN, SUCCESS, dns_error_text, dns_status
 from domsift.operators.dedup import epoch_micros
+from domsift.operators.scan import look, trailing
 
 # Health events.
 UNHEALTHY, REMAINS_UNHEALTHY, RECOVERED = "UNHEALTHY", "REMAINS_UNHEALTHY", "RECOVERED"
@@ -35,32 +36,24 @@ def health_transitions(df: DataFrame, group: str, ts: str, ok: str, order: str |
     ``event`` is UNHEALTHY on a first failure, REMAINS_UNHEALTHY on a repeated
     failure, RECOVERED on the first success after failures, null otherwise.
     """
-    w = Window.partitionBy(group).orderBy(ts, *([order] if order else []))
-    prev = F.lag(F.col(ok), 1, True).over(w)
+    told = look(df, [group], epoch_micros(df, ts), F.col(ok), "_prev", [order] if order else [])
+    prev = F.coalesce(F.col("_prev"), F.lit(True))
     event = (
         F.when(~F.col(ok) & prev, F.lit(UNHEALTHY))
         .when(~F.col(ok) & ~prev, F.lit(REMAINS_UNHEALTHY))
         .when(F.col(ok) & ~prev, F.lit(RECOVERED))
     )
-    return df.withColumn("healthy", F.col(ok)).withColumn("event", event)
+    return told.withColumn("healthy", F.col(ok)).withColumn("event", event).drop("_prev")
 
 
 def failure_rate(
     df: DataFrame, group: str, ts: str, failed: str, window_seconds: int = 120, threshold: float = 0.95
 ) -> DataFrame:
     """Share of failed checks in the trailing ``window_seconds`` (inclusive range frame)."""
-    us = epoch_micros(df, ts)
-    staged = df.withColumn("_us", us)
-    w = Window.partitionBy(group).orderBy("_us").rangeBetween(-window_seconds * 1_000_000, 0)
-    n = F.count(F.lit(1)).over(w)
-    bad = F.sum(F.col(failed).cast("int")).over(w)
-    return (
-        staged.withColumn("checks", n.cast("bigint"))
-        .withColumn("failures", bad.cast("bigint"))
-        .withColumn("failure_rate", F.round(bad / n, 6))
-        .withColumn("alarm", (bad / n) >= F.lit(threshold))
-        .drop("_us")
-    )
+    sums = {"checks": F.lit(1).cast("bigint"), "failures": F.col(failed).cast("bigint")}
+    rated = trailing(df, [group], epoch_micros(df, ts), window_seconds, sums)
+    share = F.col("failures") / F.col("checks")
+    return rated.withColumn("failure_rate", F.round(share, 6)).withColumn("alarm", share >= F.lit(threshold))
 
 
 def nxdomain_offsets_s(cfg: RetryConfig) -> list[float]:
@@ -86,16 +79,15 @@ def first_resolution(
     """
     if horizon_seconds is None:
         horizon_seconds = nxdomain_offsets_s(RetryConfig())[-1]
-    w = Window.partitionBy(domain).orderBy(ts, *([order] if order else [])).rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.col(status).isin(NXDOMAIN, SUCCESS)
     us = epoch_micros(df, ts)
-    last = F.last(F.when(seen, F.struct(F.col(status).alias("s"), us.alias("us"))), ignorenulls=True).over(w)
+    seen = F.when(F.col(status).isin(NXDOMAIN, SUCCESS), F.struct(F.col(status).alias("s"), us.alias("us")))
+    told = look(df, [domain], us, seen, "_last", [order] if order else [])
     flag = (
         (F.col(status) == F.lit(SUCCESS))
-        & (last.getField("s") == F.lit(NXDOMAIN))
-        & (us - last.getField("us") <= F.lit(int(round(horizon_seconds * 1_000_000))))
+        & (F.col("_last.s") == F.lit(NXDOMAIN))
+        & (us - F.col("_last.us") <= F.lit(int(round(horizon_seconds * 1_000_000))))
     )
-    return df.withColumn("resolved_after_nxdomain", F.coalesce(flag, F.lit(False)))
+    return told.withColumn("resolved_after_nxdomain", F.coalesce(flag, F.lit(False))).drop("_last")
 
 
 def retry_schedule(df: DataFrame, ts: str = "observed_at", status: str = "status", cfg: RetryConfig = RetryConfig()) -> DataFrame:
@@ -134,19 +126,16 @@ def retry_outcome(
     """For each NXDOMAIN miss that starts a run: resolved / gave_up / pending.
 
     Each re-check due time is aligned with the first observation of the same
-    name at or after it (an as-of lookup done with a union and a reversed
-    running window, so no pairs are formed); the first aligned observation
+    name at or after it (an as-of lookup done with a union and a look ahead, so
+    no pairs are formed); the first aligned observation
     that is not NXDOMAIN decides: success -> ``resolved`` at that attempt,
     any other error -> ``gave_up``; all NXDOMAIN -> ``gave_up``; a due time
     with nothing observed yet -> ``pending``.
     """
     tie = [order] if order else []
-    w = Window.partitionBy(domain).orderBy(ts, *tie)
-    prev = F.lag(F.col(status)).over(w)
-    starts = (
-        df.withColumn("_prev", prev)
-        .where((F.col(status) == F.lit(NXDOMAIN)) & (F.coalesce(F.col("_prev"), F.lit("")) != F.lit(NXDOMAIN)))
-        .select(F.col(domain).alias("_d"), F.col(ts).alias("miss_at"))
+    told = look(df.select(domain, ts, status, *tie), [domain], epoch_micros(df, ts), F.col(status), "_prev", tie)
+    starts = told.where((F.col(status) == F.lit(NXDOMAIN)) & (F.coalesce(F.col("_prev"), F.lit("")) != F.lit(NXDOMAIN))).select(
+        F.col(domain).alias("_d"), F.col(ts).alias("miss_at")
     )
     offs = nxdomain_offsets_s(cfg)
     sched = starts.select(
@@ -178,12 +167,9 @@ def retry_outcome(
         *[F.lit(None).cast(df.schema[c].dataType).alias("_o") for c in tie],
     )
     both = sch.unionByName(obs)
-    # first observation at or after each due time: scan backwards in time
-    rev = Window.partitionBy("_d").orderBy(
-        F.col("_t").desc(), F.col("_kind").desc(), *[F.col("_o").desc() for _ in tie]
-    ).rowsBetween(Window.unboundedPreceding, 0)
-    nxt = F.last(F.when(F.col("_kind") == 1, F.struct(F.col("_t").alias("t"), F.col("_s").alias("s"))), ignorenulls=True).over(rev)
-    aligned = both.withColumn("_next", nxt).where(F.col("_kind") == 0)
+    # first observation at or after each due time
+    nxt = F.when(F.col("_kind") == 1, F.struct(F.col("_t").alias("t"), F.col("_s").alias("s")))
+    aligned = look(both, ["_d"], epoch_micros(both, "_t"), nxt, "_next", ["_kind", *(["_o"] if tie else [])], ahead=True).where("_kind = 0")
     decided = aligned.withColumn(
         "_decisive", F.col("_next").isNull() | (F.col("_next.s") != F.lit(NXDOMAIN))
     )

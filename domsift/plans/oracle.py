@@ -273,6 +273,14 @@ firsts AS (SELECT DISTINCT ok[2] AS event_id, ok[1] AS seen_at, domain FROM next
         "CASE WHEN d.ns = 'success' THEN p.fa END AS attempt, CASE WHEN d.ns = 'success' THEN d.nt END AS resolved_at "
         "FROM per p LEFT JOIN dec d ON d.domain = p.domain AND d.miss_at = p.miss_at AND d.attempt = p.fa"
     )
+    # one answer a name and time, then the first one from when the name was seen
+    q["attach_dns_within"] = with_(
+        HOSTS, FEED, DNS,
+        """answers AS (SELECT * FROM dnss WHERE status = 'success'
+  QUALIFY row_number() OVER (PARTITION BY domain, observed_at ORDER BY event_id) = 1)""",
+        """met AS (SELECT f.event_id, f.domain, f.seen_at, s.event_id AS answer_id, s.observed_at, array_to_string(s.a || s.aaaa, ';') AS ips
+  FROM feed f ASOF JOIN answers s ON f.domain = s.domain AND s.observed_at >= f.seen_at)""",
+    ) + "SELECT * FROM met WHERE observed_at <= seen_at + INTERVAL 21600 SECOND"
     q["rate_report"] = with_(HOSTS, FEED) + (
         "SELECT time_bucket(INTERVAL '3600 seconds', seen_at) AS window_start, event_type, count(*)::BIGINT AS n, "
         "round(count(*) / 3600.0, 6) AS per_second FROM feed GROUP BY ALL"

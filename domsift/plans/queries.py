@@ -16,7 +16,7 @@ from domsift.functions.dns import dns_status
 from domsift.functions.ip import ip_key
 from domsift.functions.text import alert_json, format_plain, rfc3339
 from domsift.operators import dedup, digest, dns, feed as feed_ops, metrics, ranges, rules, suffix
-from domsift.operators.alerts import build_alerts, dns_snapshot
+from domsift.operators.alerts import attach_dns_within, build_alerts, dns_snapshot
 from domsift.plans.detect import detect
 from domsift.sources import tables
 from domsift.sources.feed import parse_messages
@@ -66,6 +66,8 @@ IGNORE_PATTERNS = [r"^www\.", "spam-farm", r"\.example\.org$"]
 SUPPRESS_TTL_S = 86400
 DIGEST_WIDTH_S = 21600
 FIRST_RESOLUTION_S = 43200
+#: How long after a name is seen its answer still counts (the derived observations are sparse).
+ANSWER_HORIZON_S = 21600
 DIGEST_BATCH = 50
 
 
@@ -267,6 +269,12 @@ def q_retry_outcome(spark: SparkSession, d: str) -> DataFrame:
     return dns.retry_outcome(_obs_status(spark, d), order="event_id")
 
 
+def q_attach_dns_within(spark: SparkSession, d: str) -> DataFrame:
+    answers = tables.dns_observations(spark, d).withColumnRenamed("event_id", "answer_id")
+    met = attach_dns_within(tables.feed(spark, d), answers, ANSWER_HORIZON_S, order="answer_id")
+    return met.select("event_id", "domain", "seen_at", "answer_id", "observed_at", F.array_join(F.concat("a", "aaaa"), ";").alias("ips"))
+
+
 def q_rate_report(spark: SparkSession, d: str) -> DataFrame:
     return metrics.rate_report(tables.feed(spark, d), "seen_at", "event_type", width_seconds=3600)
 
@@ -377,6 +385,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "first_resolution": q_first_resolution,
     "retry_schedule": q_retry_schedule,
     "retry_outcome": q_retry_outcome,
+    "attach_dns_within": q_attach_dns_within,
     "rate_report": q_rate_report,
     "alert_plain": q_alert_plain,
     "alert_json": q_alert_json,

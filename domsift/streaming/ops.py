@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from domsift.functions.dns import SUCCESS, dns_status
 from domsift.functions.text import alert_json, digest_line_parts
 from domsift.operators import rules as rules_mod
 from domsift.operators.digest import FENCE, aggregate_alerts, digest_sort_key, group_key
@@ -151,6 +152,30 @@ def failure_rate_stream(
     return per.withColumn("failure_rate", F.round(rate, 6)).withColumn("alarm", rate >= F.lit(threshold))
 
 
+def attach_dns_stream(
+    feed: DataFrame, dns: DataFrame, horizon_seconds: float, domain: str = "domain", seen: str = "seen_at",
+    observed: str = "observed_at", order: str | None = None, watermark: str = "1 minute",
+) -> DataFrame:
+    """Stream twin of ``attach_dns_within``: a stream of names meets a stream of DNS observations.
+
+    Both sides wait for each other: a name for answers until ``horizon_seconds``
+    after it was seen, an answer for names that are still on their way. The
+    bounds on both times let either state go once the watermark has passed them.
+    A name's first answer is final, and comes out, when its horizon has passed;
+    names without one never come out. Rows of the feed that are equal in every
+    column are one.
+    """
+    added = [c for c in dns.columns if c != domain]
+    names = feed.withWatermark(seen, watermark)
+    answers = dns.where(dns_status() == F.lit(SUCCESS)).withColumnRenamed(domain, "_d").withWatermark(observed, watermark)
+    horizon = F.expr(f"INTERVAL {int(round(horizon_seconds * 1_000_000))} MICROSECONDS")
+    met = names.join(
+        answers, (F.col(domain) == F.col("_d")) & (F.col(observed) >= F.col(seen)) & (F.col(observed) <= F.col(seen) + horizon)
+    )
+    first = F.min_by(F.struct(*added), F.struct(observed, *([order] if order else []))).alias("_answer")
+    return met.groupBy(*feed.columns).agg(first).select(*feed.columns, "_answer.*")
+
+
 def enrich_stream(names: DataFrame, enriched_answers: DataFrame, domain: str = "domain") -> DataFrame:
     """Stream-static equi-join with the pre-enriched answer table (no regrouping on the stream)."""
     return names.join(enriched_answers, domain, "inner")
