@@ -53,18 +53,19 @@ def epoch_micros(df: DataFrame, ts: str) -> Column:
     return F.unix_micros(F.col(ts))
 
 
-def suppress_repeats(df: DataFrame, key: str, ts: str, ttl_seconds: float, order: str | None = None) -> DataFrame:
+#: Most different times of a key that are folded in one row.
+FOLD_TIMES = 20_000
+
+
+def suppress_repeats(
+    df: DataFrame, key: str, ts: str, ttl_seconds: float, order: str | None = None, fold_times: int = FOLD_TIMES
+) -> DataFrame:
     """Flag each row ``passed``: first per key, then repeats held back until
     ``ttl`` after the last *passed* row (a repeat does not renew the hold).
 
     The rule is greedy: which row passes depends on the one that passed before.
-    A time of a key passes surely if the time before it lies ``ttl`` back or more
-    (a root). From any time that passes, the next to pass is the first one at or
-    after ``ttl`` later; these links are looked up inside (key, time bucket), so
-    a hot key is spread over all tasks. Times on the chains that begin at roots
-    are marked by pointer doubling, in as many rounds as the longest chain has
-    binary digits. Links into roots are left out, as are those that nothing on a
-    chain can reach.
+    A key of at most ``FOLD_TIMES`` different times is folded over its sorted
+    times; the others go by ``passing_times``, which spreads a key over all tasks.
 
     Expiry at exactly ``ttl`` passes. Of rows of one key and time the first by
     ``order`` can pass. A row without a time passes and holds nothing back. Rows
@@ -75,15 +76,44 @@ def suppress_repeats(df: DataFrame, key: str, ts: str, ttl_seconds: float, order
         return df.withColumn("passed", F.lit(True))
     keyed = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
     rows = stored(df.withColumn("_k", keyed).withColumn("_t", epoch_micros(df, ts)), "repeats")
-    times = passing_times(rows.where("_t is not null").select("_k", "_t"), ttl_us).withColumn("_hit", F.lit(True))
+    points = rows.where("_t is not null").select("_k", "_t")
+    many = points.groupBy("_k").agg(F.count_distinct("_t").alias("_n")).where(F.col("_n") > fold_times).select("_k")
+    if many.isEmpty():
+        times = folded_times(points, ttl_us)
+    else:
+        many = stored(many, "hot")
+        hot = passing_times(points.join(many, "_k", "left_semi"), ttl_us)
+        times = folded_times(points.join(many, "_k", "left_anti"), ttl_us).unionByName(hot)
+    times = times.withColumn("_hit", F.lit(True))
     same = Window.partitionBy("_k", "_t").orderBy(*([order] if order else ["_t"]))
     flagged = rows.join(times, ["_k", "_t"], "left").withColumn("_n", F.row_number().over(same))
     passed = F.col("_t").isNull() | (F.coalesce(F.col("_hit"), F.lit(False)) & (F.col("_n") == 1))
     return flagged.select(*df.columns, passed.alias("passed"))
 
 
+def folded_times(times: DataFrame, ttl_us: int) -> DataFrame:
+    """The (``_k``, ``_t``) that the greedy rule lets pass, of keys with few different times."""
+    nothing = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("passed"))
+
+    def step(acc: Column, t: Column) -> Column:
+        on = acc["last"].isNull() | (t - acc["last"] >= ttl_us)
+        return F.when(on, F.struct(t.alias("last"), F.concat(acc["passed"], F.array(t)).alias("passed"))).otherwise(acc)
+
+    per = times.groupBy("_k").agg(F.sort_array(F.collect_set("_t")).alias("_times"))
+    return per.select("_k", F.explode(F.aggregate("_times", nothing, step, lambda acc: acc["passed"])).alias("_t"))
+
+
 def passing_times(times: DataFrame, ttl_us: int) -> DataFrame:
-    """The (``_k``, ``_t``) of a table of keys and times that the greedy rule lets pass."""
+    """The (``_k``, ``_t``) of a table of keys and times that the greedy rule lets pass.
+
+    A time of a key passes surely if the time before it lies ``ttl`` back or more
+    (a root). From any time that passes, the next to pass is the first one at or
+    after ``ttl`` later; these links are looked up inside (key, time bucket), so
+    a hot key is spread over all tasks. Times on the chains that begin at roots
+    are marked by pointer doubling, in as many rounds as the longest chain has
+    binary digits. Links into roots are left out, as are those that nothing on a
+    chain can reach.
+    """
     points = times.distinct()
     width = ttl_us / 1_000_000
     t = F.col("_t")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from domsift.functions.dns import NXDOMAIN, SUCCESS, dns_error_text, dns_status
 from domsift.operators.dedup import epoch_micros
 from domsift.operators.scan import look, trailing
+from domsift.operators.store import stored
 
 # Health events.
 UNHEALTHY, REMAINS_UNHEALTHY, RECOVERED = "UNHEALTHY", "REMAINS_UNHEALTHY", "RECOVERED"
@@ -133,7 +134,8 @@ def retry_outcome(
     with nothing observed yet -> ``pending``.
     """
     tie = [order] if order else []
-    told = look(df.select(domain, ts, status, *tie), [domain], epoch_micros(df, ts), F.col(status), "_prev", tie)
+    df = stored(df.select(domain, ts, status, *tie), "observations")
+    told = look(df, [domain], epoch_micros(df, ts), F.col(status), "_prev", tie)
     starts = told.where((F.col(status) == F.lit(NXDOMAIN)) & (F.coalesce(F.col("_prev"), F.lit("")) != F.lit(NXDOMAIN))).select(
         F.col(domain).alias("_d"), F.col(ts).alias("miss_at")
     )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from domsift.functions.text import format_digest_line, format_plain
 from domsift.operators.dedup import dedup_key, suppress_repeats
-from domsift.operators.digest import digest_batches
+from domsift.operators.digest import digest_batches, digest_sort_key
 from domsift.operators.suffix import registrable_domains
 
 T0 = dt.datetime(2024, 1, 1, 12, 0, 0)
@@ -92,25 +92,29 @@ def test_digest_line(spark):
     assert line["bank.test"] is not None and " @ 64500/, " in line["bank.test"]
 
 
-def test_digest_batch_order_and_size(spark):
-    def alert(i, d, base, org):
-        enr = [("9.9.9.9", 1, org, "US")] if org else []
-        return (i, T0 + dt.timedelta(seconds=i), d, base, ["phishing"], ([], [], []), enr)
-    rows = [alert(0, "c.example.com", "example.com", None), alert(1, "no-dots", None, None),
-            alert(2, "a.example.com", "example.com", "NET-C"), alert(3, "z.another.net", "another.net", "NET-Z"),
-            alert(4, "b.example.com", "example.com", "NET-G"), alert(5, "example.com", "example.com", "NET-A")]
-    df = spark.createDataFrame(rows, f"id INT, timestamp TIMESTAMP, domain STRING, base_domain STRING, "
-                                     f"source_tag ARRAY<STRING>, dns {DNS}, enrichment {ENR}")
-    # each name its own group: key by the full name here
-    per_name = df.withColumn("base_domain", F.col("base_domain")).withColumn("g", F.col("domain"))
-    text = digest_batches(per_name.withColumn("base_domain", F.col("base_domain")), "timestamp", 300, order="id").first().text
-    assert text.startswith("```\n") and text.endswith("\n```")
-    lines = text.strip("`").strip().split("\n")
-    # the same registrable domain folds into one entry: example.com holds four names
-    assert len(lines) == 3
-    assert "another.net" in lines[0] and "(+3 more)" in lines[1] and "no-dots" in lines[2]
-    two = digest_batches(df.where("id in (0, 2, 3)"), "timestamp", 300, batch_size=1, order="id").collect()
-    assert sorted(r.entries for r in two) == [1, 1]
+def test_digest_lines_in_order_and_batches_of_size(spark):
+    """Each part of the sort key decides once: the registrable domain, the folded name, the AS name, missing ones last."""
+    def row(i, name, base, as_name="", number=7):
+        enrichment = [] if as_name == "" else [("198.51.100.4", number, as_name, None)]
+        return (i, T0 + dt.timedelta(seconds=90 - i), name, base, ["feed"], (["198.51.100.4"], [], []), enrichment)
+    given = [
+        row(0, "solo", None, "zeta"), row(1, "Solo", None, "Alpha"),          # equal but for case: the AS name decides
+        row(2, "shop.kiwi.test", "kiwi.test", "m"), row(3, "shop.apple.test", "apple.test", "z"),
+        row(4, "mango", None), row(5, "mango", None, "nu", None),               # no AS name, or one without a number
+        row(6, "berry", None, "omega"),
+    ]
+    schema = f"id INT, timestamp TIMESTAMP, domain STRING, base_domain STRING, source_tag ARRAY<STRING>, dns {DNS}, enrichment {ENR}"
+    df = spark.createDataFrame(given, schema)
+    keyed = df.withColumn("place", digest_sort_key(F.struct("base_domain", "domain", "enrichment")))
+    assert [r.id for r in keyed.orderBy("place", "id").collect()] == [3, 2, 6, 4, 5, 1, 0]
+    one = digest_batches(df, "timestamp", 300, order="id").collect()
+    lines = [line for r in one for line in r.text.removeprefix("```\n").removesuffix("\n```").split("\n")]
+    assert [sum(name in line for line in lines) for name in ("apple.test", "kiwi.test", "berry", "mango")] == [1, 1, 1, 1]
+    assert sum(r.entries for r in one) == len(lines) == 6
+    # in order of arrival (the latest id first), two registrable domains a digest
+    cut = sorted(digest_batches(df, "timestamp", 300, batch_size=2, order="id").collect(), key=lambda r: (r.window_start, r.batch))
+    assert [r.entries for r in cut] == [2, 2, 2]
+    assert "berry" in cut[0].text and "mango" in cut[0].text and "(+1 more)" in cut[0].text
 
 
 def test_plain_line(spark):

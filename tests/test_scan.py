@@ -9,7 +9,7 @@ from test_streaming import _run, _stream, at
 
 from domsift.operators import scan
 from domsift.operators.alerts import attach_dns_within
-from domsift.operators.dedup import passing_times, suppress_repeats
+from domsift.operators.dedup import folded_times, passing_times, suppress_repeats
 from domsift.operators.dns import failure_rate
 from domsift.streaming import ops
 
@@ -65,12 +65,14 @@ def test_passing_times(spark, ttl):
     given += [("=steady", 3 * i) for i in range(400)]  # one long chain
     df = spark.createDataFrame(given, "_k STRING, _t BIGINT").repartition(5)
     assert {tuple(r) for r in passing_times(df, ttl).collect()} == greedy(given, ttl)
+    assert {tuple(r) for r in folded_times(df, ttl).collect()} == greedy(given, ttl)
 
 
-def test_suppression_of_ties_nulls_and_hot_keys(spark):
+@pytest.mark.parametrize("fold_times", [4096, 50, 0])
+def test_suppression_of_ties_nulls_and_hot_keys(spark, fold_times):
     given = [(i, "hot" if i % 3 else None, at(i // 2)) for i in range(200)] + [(900, "x", None), (901, "x", None), (902, "x", at(0)), (903, "x", at(0))]
     df = spark.createDataFrame(given, "id INT, key STRING, ts TIMESTAMP").withColumn("_n", F.lit("mine"))
-    out = suppress_repeats(df, "key", "ts", 10, order="id")
+    out = suppress_repeats(df, "key", "ts", 10, order="id", fold_times=fold_times)
     assert out.columns == ["id", "key", "ts", "_n", "passed"]
     got = {r.id for r in out.collect() if r.passed}
     want, last = {900, 901}, {}
