@@ -3,8 +3,8 @@
 A text is tokenised whole by both tokenizers. Where tokens of both that carry a
 leading space begin at one byte, the ends before them are shared; these anchors
 cut the text into windows of (A ids, B ids). Bytes of a token follow from its
-id, so a window's alignment follows from its ids and is worked out once for each
-pair of id tuples and remembered. Inside a window the byte offsets where both
+id, so a window's alignment follows from its ids and is worked out once a block
+of documents for each pair of id tuples, and remembered there. Inside a window the byte offsets where both
 end cut it into groups; every A token of a group is linked to every B token.
 
 How many documents link a pair of ids is a corpus-wide sum. Documents are taken
@@ -40,9 +40,7 @@ from pyspark.sql import functions as F
 from domsift.llm.common import written
 
 #: Text of one block of documents, and most of its documents.
-BLOCK_CHARS, BLOCK_ROWS = 2_000_000, 4096
-#: Window alignments remembered by a Python worker; longer windows are worked out each time.
-MEMO_WINDOWS, MEMO_BYTES = 60_000, 256
+BLOCK_CHARS, BLOCK_ROWS = 5_000_000, 4096
 #: Unbroken runs beyond this go to the library's encoder, which does not slow down on them.
 LONG_RUN = 2000
 # characters on which both encoders of the byte-level file cut words alike (tested one by one)
@@ -131,86 +129,81 @@ def _spread(sizes: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 class Aligner:
+    """Aligns blocks of texts. A window's key is its A ids, then its B ids raised by ``raised``, as uint32 bytes."""
+
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteLevel(a_path), Pieces(b_path)
-        self.a_len = np.array([len(t) for t in self.a.bytes_of], dtype=np.int64)
-        self.b_len = np.array([len(t) for t in self.b.bytes_of], dtype=np.int64)
-        self.a_spaced = np.array([t.startswith(b" ") for t in self.a.bytes_of])
-        self.b_spaced = np.array([t.startswith(b" ") for t in self.b.bytes_of])
-        ids = max(len(self.a_len), len(self.b_len))
-        self.written = [f"{i}{mark}" for i in range(ids) for mark in ",|;"]
-        self.memo: dict = {}
-        self.older: dict = {}
-
-    def work_out(self, keys: list[tuple[bytes, bytes]]) -> list[tuple[int, str, bytes]]:
-        """(groups, their digest text, linked pairs as int64 a << 32 | b) of each window of ids.
+        self.raised = len(self.a.bytes_of)
+        both = [*self.a.bytes_of, *self.b.bytes_of]
+        self.size = np.array([len(t) for t in both], dtype=np.int64)
+        self.spaced = np.array([t.startswith(b" ") for t in both])
+        self.letters = np.frombuffer(b"".join(both), dtype=np.uint8)
+        self.first = np.cumsum(self.size) - self.size
+        self.written = [f"{i - self.raised if i >= self.raised else i}{mark}" for i in range(len(both)) for mark in ",|;"]
+
+    def _spells(self, ids: np.ndarray, whole: np.ndarray) -> bool:
+        sizes = self.size[ids]
+        return sizes.sum() == len(whole) and bool((self.letters[_spread(sizes, self.first[ids])] == whole).all())
+
+    def windows(self, text: str, a_ids: list[int], b_ids: list[int]) -> list[bytes] | None:
+        """Keys of the text's windows; None if either side does not spell the text."""
+        whole = np.frombuffer(b" " + text.encode(), dtype=np.uint8)
+        a, b = np.array(a_ids, dtype=np.uint32), np.array(b_ids, dtype=np.uint32) + np.uint32(self.raised)
+        if not (self._spells(a, whole) and self._spells(b, whole)):
+            return None
+        a_size, b_size = self.size[a], self.size[b]
+        a_from, b_from = np.cumsum(a_size) - a_size, np.cumsum(b_size) - b_size
+        a_at, b_at = np.flatnonzero(self.spaced[a]), np.flatnonzero(self.spaced[b])
+        marked = np.zeros(len(whole), dtype=np.uint8)
+        marked[a_from[a_at]] = 1
+        marked[b_from[b_at]] += 1
+        # both sides have a space-marked token here, so what is before it ends on both
+        a_at, b_at = a_at[marked[a_from[a_at]] == 2], b_at[marked[b_from[b_at]] == 2]
+        a_cut = np.concatenate([[0], a_at[a_at > 0], [len(a)]])
+        b_cut = np.concatenate([[0], b_at[b_at > 0], [len(b)]])
+        order = np.empty(len(a) + len(b), dtype=np.uint32)
+        order[np.arange(len(a)) + np.repeat(b_cut[:-1], np.diff(a_cut))] = a
+        order[np.arange(len(b)) + np.repeat(a_cut[1:], np.diff(b_cut))] = b
+        spelt, cut = order.tobytes(), (4 * (a_cut + b_cut)).tolist()
+        return [spelt[i:j] for i, j in pairwise(cut)]
+
+    def work_out(self, keys: list[bytes]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """Of different windows: numbers of groups, digest texts, numbers of links; and all links as a << 32 | b.
 
         Both sides of a window span the same bytes, so all windows laid end to
         end are cut by one comparison of byte offsets.
         """
-        a = np.frombuffer(b"".join([k[0] for k in keys]), dtype=np.uint32)
-        b = np.frombuffer(b"".join([k[1] for k in keys]), dtype=np.uint32)
-        a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
-        shared = np.intersect1d(a_end, b_end)
-        a_group, b_group = np.searchsorted(shared, a_end), np.searchsorted(shared, b_end)
-        n_a, n_b = np.bincount(a_group, minlength=len(shared)), np.bincount(b_group, minlength=len(shared))
+        ids = np.frombuffer(b"".join(keys), dtype=np.uint32)
+        of_b = ids >= self.raised
+        a, b = ids[~of_b], ids[of_b]
+        a_end, b_end = np.cumsum(self.size[a]), np.cumsum(self.size[b])
+        marked = np.zeros(int(a_end[-1]) + 1 if len(a) else 1, dtype=np.uint8)
+        marked[a_end] = 1
+        marked[b_end] += 1
+        a_last, b_last = marked[a_end] == 2, marked[b_end] == 2
+        a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+        n_groups = int(a_last.sum())
+        n_a, n_b = np.bincount(a_group, minlength=n_groups), np.bincount(b_group, minlength=n_groups)
         b_first = np.cumsum(n_b) - n_b
         links = n_b[a_group]
-        pairs = np.repeat(a.astype(np.int64) << 32, links) | b[_spread(links, b_first[a_group])]
+        pairs = np.repeat(a.astype(np.int64) << 32, links) | (b[_spread(links, b_first[a_group])] - np.uint32(self.raised))
         # text: the ids of a group's A tokens, then those of its B tokens, each with the mark that follows it
-        a_last = np.append(a_group[1:] != a_group[:-1], True) if len(a) else np.empty(0, bool)
-        b_last = np.append(b_group[1:] != b_group[:-1], True) if len(b) else np.empty(0, bool)
-        order = np.empty(len(a) + len(b), dtype=np.int64)
+        order = np.empty(len(ids), dtype=np.int64)
         order[np.arange(len(a)) + b_first[a_group]] = 3 * a.astype(np.int64) + a_last
         order[np.arange(len(b)) + np.cumsum(n_a)[b_group]] = 3 * b.astype(np.int64) + 2 * b_last
         table = self.written
         text = [table[i] for i in order.tolist()]
-        a_to, b_to = np.cumsum([len(k[0]) // 4 for k in keys]), np.cumsum([len(k[1]) // 4 for k in keys])
-        text_to = (a_to + b_to).tolist()
-        pairs_to = (8 * np.append(0, np.cumsum(links))[a_to]).tolist()
-        group_to = (a_group[a_to - 1] + 1).tolist()
-        spelt = pairs.tobytes()
-        return [
-            (g1 - g0, "".join(text[t0:t1]), spelt[p0:p1])
-            for (g0, g1), (t0, t1), (p0, p1) in zip(pairwise([0, *group_to]), pairwise([0, *text_to]), pairwise([0, *pairs_to]))
-        ]
-
-    def alignments(self, keys: list[tuple[bytes, bytes]]) -> list[tuple[int, str, bytes]]:
-        """Alignments of different windows, remembered ones first."""
-        found = [self.memo.get(key) or self.older.get(key) for key in keys]
-        missing = [i for i, known in enumerate(found) if known is None]
-        for i, new in zip(missing, self.work_out([keys[i] for i in missing]) if missing else []):
-            found[i] = new
-        for key, known in zip(keys, found):
-            if len(key[0]) + len(key[1]) <= MEMO_BYTES:
-                if len(self.memo) >= MEMO_WINDOWS:
-                    self.memo, self.older = {}, self.memo
-                self.memo[key] = known
-        return found
-
-    def windows(self, text: str, a_ids: list[int], b_ids: list[int]) -> list[tuple[bytes, bytes]] | None:
-        """The text's windows as bytes of their ids; None if either side does not spell the text."""
-        whole = b" " + text.encode()
-        spelt_a = b"".join([self.a.bytes_of[i] for i in a_ids])
-        if spelt_a != whole or b"".join([self.b.bytes_of[i] for i in b_ids]) != whole:
-            return None
-        a, b = np.array(a_ids, dtype=np.uint32), np.array(b_ids, dtype=np.uint32)
-        a_from, b_from = np.cumsum(self.a_len[a]) - self.a_len[a], np.cumsum(self.b_len[b]) - self.b_len[b]
-        a_at, b_at = np.flatnonzero(self.a_spaced[a]), np.flatnonzero(self.b_spaced[b])
-        marked = np.zeros(len(whole) + 1, dtype=bool)
-        marked[a_from[a_at]] = True
-        b_at = b_at[marked[b_from[b_at]]]
-        marked[:] = False
-        marked[b_from[b_at]] = True
-        a_at = a_at[marked[a_from[a_at]]]
-        assert len(a_at) == len(b_at) and (a_from[a_at] == b_from[b_at]).all()
-        a_cut = [0, *(4 * a_at[a_at > 0]).tolist(), 4 * len(a)] if len(a_at) else [0, 4 * len(a)]
-        b_cut = [0, *(4 * b_at[b_at > 0]).tolist(), 4 * len(b)] if len(b_at) else [0, 4 * len(b)]
-        a_all, b_all = a.tobytes(), b.tobytes()
-        return [(a_all[i:j], b_all[k:n]) for (i, j), (k, n) in zip(pairwise(a_cut), pairwise(b_cut))]
+        to = np.cumsum([len(k) // 4 for k in keys], dtype=np.int64)
+        texts = ["".join(text[i:j]) for i, j in pairwise([0, *to.tolist()])]
+        a_to = np.cumsum(~of_b)[to - 1]
+        n_links = np.diff(np.append(0, np.cumsum(links))[a_to], prepend=0)
+        return np.diff(a_group[a_to - 1] + 1, prepend=0), texts, n_links, pairs
 
     def block(self, texts: list[str]):
-        """Per text: n_a, n_b, n_groups, n_links, digest, places of its pairs, how often; then the block's pairs and their documents."""
+        """Per text: n_a, n_b, n_groups, n_links, digest, places of its pairs, how often; then the block's pairs and their documents.
+
+        Equal windows of the block are numbered alike and worked out once.
+        """
         a_ids, b_ids = self.a.encode([" " + t for t in texts]), self.b.encode(texts)
         number = _Numbered()
         n_a, n_b, used = [], [], []
@@ -218,26 +211,28 @@ class Aligner:
             keys = self.windows(text, a, b) if text else None
             n_a.append(len(a) if keys else 0)
             n_b.append(len(b) if keys else 0)
-            used.append(np.array([number[key] for key in keys or ()], dtype=np.int64))
-        known = self.alignments(list(number))
-        n_groups = np.array([k[0] for k in known], dtype=np.int64)
-        texts_of = [k[1] for k in known]
-        sizes = np.array([len(k[2]) // 8 for k in known], dtype=np.int64)
-        pairs, place = np.unique(np.frombuffer(b"".join([k[2] for k in known]), dtype=np.int64), return_inverse=True)
+            used.append([number[key] for key in keys or ()])
+        none = np.empty(0, dtype=np.int64)
+        n_groups, texts_of, sizes, links = self.work_out(list(number)) if number else (none, [], none, none)
+        pairs, place = np.unique(links, return_inverse=True)
+        spelt = ["".join([texts_of[i] for i in mine])[:-1].encode() for mine in used]
+        digests = [hashlib.sha256(t).hexdigest() if t else "" for t in spelt]
+        window = np.array([i for mine in used for i in mine], dtype=np.int64)
+        of_text = np.repeat(np.arange(len(texts)), [len(mine) for mine in used])
         begin = np.cumsum(sizes) - sizes
-        digests, group_sums, link_sums, at, times = [], [], [], [], []
-        documents = np.zeros(len(pairs), dtype=np.int64)
-        for mine in used:
-            text = "".join([texts_of[i] for i in mine.tolist()])[:-1]
-            digests.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
-            links = place[_spread(sizes[mine], begin[mine])]
-            which, often = np.unique(links, return_counts=True)
-            documents[which] += 1
-            group_sums.append(int(n_groups[mine].sum()))
-            link_sums.append(len(links))
-            at.append(which.astype("<u4").tobytes())
-            times.append(often.astype("<u4").tobytes())
-        return n_a, n_b, group_sums, link_sums, digests, at, times, pairs, documents
+        # every link of every text by (text, place of its pair), equal ones once and counted
+        each = np.repeat(of_text, sizes[window]) * max(1, len(pairs)) + place[_spread(sizes[window], begin[window])]
+        each.sort()
+        first = np.flatnonzero(np.append(True, each[1:] != each[:-1])[: len(each)])
+        often = np.diff(np.append(first, len(each))).astype("<u4")
+        text_of, which = np.divmod(each[first], max(1, len(pairs)))
+        documents = np.bincount(which, minlength=len(pairs))
+        cut = np.searchsorted(text_of, np.arange(len(texts) + 1)).tolist()
+        which = which.astype("<u4")
+        at = [which[i:j].tobytes() for i, j in pairwise(cut)]
+        times = [often[i:j].tobytes() for i, j in pairwise(cut)]
+        sums = [np.bincount(of_text, weights=n[window], minlength=len(texts)).astype(np.int64).tolist() for n in (n_groups, sizes)]
+        return n_a, n_b, *sums, digests, at, times, pairs, documents
 
 
 _ALIGNERS: dict = {}
