@@ -15,10 +15,11 @@ numbers), so the work is their product with the table, in bounded pieces.
 Defined results
     * null vectors, vectors with null or non-finite components, and rows of null
       id take no part;
-    * of rows with one id the smallest vector (component by component) counts,
-      so exact repeats change nothing; a vector is never its own neighbour;
-    * shorter vectors are padded with zeros; components beyond +-2^28 after
-      scaling are taken as that;
+    * rows with one id, repeats too, are rows of their own: each is a candidate
+      for all others and asks for itself; a row is never its own neighbour;
+    * shorter vectors are padded with zeros; where a block's and a query's sums
+      could pass 64 bits they are taken in Python's integers, all members of the
+      block at once; a component or a score that a long can't hold is an error;
     * ties go to the smaller id; fewer than k others: all of them;
     * only the two named columns are read; an empty table gives no rows.
 """
@@ -41,16 +42,18 @@ QUERY_ROWS = 256
 LEVEL_BITS = 4
 #: Members that are left for exact scoring, at most, when a block is given up early.
 RESCORE = 64
-_LARGEST = 1 << 28
+#: Scaled components from here on are refused; blocks with components from ``_WIDE`` on are scored without an index.
+_REFUSED, _WIDE, _SUM = 1 << 62, 1 << 31, 1 << 61
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
     """array<long>, or null where the vector takes no part."""
     usable = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    value = F.transform(
-        vector,
-        lambda x: F.greatest(F.lit(-float(_LARGEST)), F.least(F.lit(float(_LARGEST)), F.floor(x.cast("double") * scale).cast("double"))).cast("long"),
-    )
+    def whole(x: Column) -> Column:
+        held = F.abs(x.cast("double") * scale) < float(_REFUSED)
+        return F.when(held, F.floor(x.cast("double") * scale).cast("long")).otherwise(F.raise_error(F.lit("a component is too large")).cast("long"))
+
+    value = F.transform(vector, whole)
     return F.when(vector.isNotNull() & F.coalesce(usable, F.lit(False)), value)
 
 
@@ -60,6 +63,9 @@ class Block:
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
         n, d = vectors.shape
+        self.largest = int(np.abs(vectors).max(initial=0))
+        if self.largest >= _WIDE:
+            return
         self.low = vectors.min(axis=0)
         span = (vectors.max(axis=0) - self.low).astype(np.int64)
         self.shift = np.array([max(0, int(s).bit_length() - LEVEL_BITS) for s in span])
@@ -79,6 +85,9 @@ class Block:
         ``floor``: a score that k others are known to reach; what stays below is left out.
         """
         n, d = self.vectors.shape
+        if self.largest >= _WIDE or self.largest * int(np.abs(query).max(initial=0)) * max(1, d) >= _SUM:
+            scores = [sum(map(int.__mul__, row, query.tolist())) for row in self.vectors.tolist()]
+            return np.arange(n), np.array(scores, dtype=np.int64)
         up = np.maximum(query[:, None] * self.least, query[:, None] * self.most)
         down = np.minimum(query[:, None] * self.least, query[:, None] * self.most)
         filled = self.starts[:, 1:] > self.starts[:, :-1]
@@ -129,24 +138,21 @@ def _packed(rows: list, width: int) -> np.ndarray:
 
 def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best others of each row where ``is_query``."""
-    vectors = written(
-        df.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"))
-        .where("id is not null and v is not null")
-        .groupBy("id")
-        .agg(F.min("v").alias("v")),
-        "vectors",
-    )
+    usable = df.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"))
+    # numbered once the rows lie in files, so that a task run again finds the same numbers
+    read = written(usable.where("id is not null and v is not null"), "usable")
+    vectors = written(read.withColumn("row", F.monotonically_increasing_id()), "vectors")
     rows, width = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     blocks = max(1, -(-rows // BLOCK_ROWS))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id", ignore_index=True)
-        data = _packed(group["v"].tolist(), width)
-        return pd.DataFrame({"part": [int(group["part"][0])], "ids": [group["id"].to_numpy(np.int64).tobytes()], "data": [data.tobytes()]})
+        group = group.sort_values(["id", "row"], ignore_index=True)
+        names = group[["id", "row"]].to_numpy(np.int64)
+        return pd.DataFrame({"part": [int(group["part"][0])], "ids": [names.tobytes()], "data": [_packed(group["v"].tolist(), width).tobytes()]})
 
     def parted(frame: DataFrame, parts: int) -> DataFrame:
-        part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part")
-        return frame.select("id", "v", part).groupBy("part").applyInPandas(pack, "part int, ids binary, data binary")
+        part = F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part")
+        return frame.select("id", "row", "v", part).groupBy("part").applyInPandas(pack, "part int, ids binary, data binary")
 
     chosen = vectors.withColumnRenamed("id", id_col).where(is_query).withColumnRenamed(id_col, "id")
     n_queries = chosen.count()
@@ -162,25 +168,25 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
             for i in range(batch.num_rows):
                 row = {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
                 if row["part"] != now:
-                    now, ids = row["part"], np.frombuffer(row["ids"], dtype=np.int64)
+                    now, ids = row["part"], np.frombuffer(row["ids"], dtype=np.int64).reshape(-1, 2)
                     block = Block(np.frombuffer(row["data"], dtype=np.int64).reshape(len(ids), -1))
-                names = np.frombuffer(row["query_ids"], dtype=np.int64)
+                names = np.frombuffer(row["query_ids"], dtype=np.int64).reshape(-1, 2)
                 queries = np.frombuffer(row["queries"], dtype=np.int64).reshape(len(names), -1)
                 found: list[tuple[np.ndarray, ...]] = []
-                for name, query in zip(names.tolist(), queries):
+                for (query_id, name), query in zip(names.tolist(), queries):
                     best = floors.get(name, [])
                     # own vector may be a member: one more than k
                     at, score = block.search(query, k + 1, best[-1] if len(best) == k else None)
-                    other = ids[at] != name
+                    other = ids[at, 1] != name
                     at, score = at[other], score[other]
-                    order = np.lexsort((ids[at], -score))[:k]
+                    order = np.lexsort((ids[at, 0], -score))[:k]
                     at, score = at[order], score[order]
                     floors[name] = sorted(best + score.tolist(), reverse=True)[:k]
-                    found.append((np.full(len(at), name), ids[at], score))
+                    found.append((np.full(len(at), name), np.full(len(at), query_id), ids[at, 0], score))
                 columns = [np.concatenate(c) for c in zip(*found)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["row", "query_id", "vec_id", "score"])
 
     met = index.join(asked, "part").select("part", "ids", "data", "query_ids", "queries")
-    partial = met.mapInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    partial = met.mapInArrow(search, "row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -430,11 +430,29 @@ def test_top_k(spark, monkeypatch):
     vectors = [(i, (rnd.standard_normal(8) / 3).round(2).tolist()) for i in range(300)]
     vectors += [(300, vectors[0][1]), (301, vectors[0][1]), (302, None), (303, [1.0, None]), (304, [float("nan")]), (305, [float("inf")]), (306, [0.5]), (None, [9.0] * 8)]
     df = spark.createDataFrame([(i, v, 1) for i, v in vectors + vectors[:5]], "vec_id LONG, embedding ARRAY<FLOAT>, score INT")
-    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()}
-    usable = {i: np.floor(256 * np.array(v + [0.0] * (8 - len(v)), dtype=np.float32).astype(float)).astype(int) for i, v in vectors if i is not None and i not in (302, 303, 304, 305)}
-    for q in range(0, 301, 50):
-        best = sorted((-int(usable[q] @ v), i) for i, v in usable.items() if i != q)[:5]
-        assert [got[(q, k + 1)] for k in range(5)] == [(i, -s) for s, i in best]
-    assert len(got) == 35
+    rows = [(i, v) for i, v in vectors + vectors[:5] if i is not None and i not in (302, 303, 304, 305)]
+    usable = [(i, np.floor(256 * np.array(v + [0.0] * (8 - len(v)), dtype=np.float32).astype(float)).astype(int)) for i, v in rows]
+    want = []
+    for at, (q, query) in enumerate(usable):
+        if q % 50 == 0:
+            best = sorted((-int(query @ v), i) for other, (i, v) in enumerate(usable) if other != at)[:5]
+            want += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(got) == 40  # vector 0 stands twice and asks twice
     few = topk.top_k(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") == 0)
-    assert few.count() == 2 and topk.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
+    assert few.count() == 10 and topk.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_top_k_of_equal_ids_and_large_components(spark):
+    rows = [(0, [1.0, 2.0]), (1, [0.5, 0.0]), (1, [3.0, 0.0]), (2, [2e6, 0.0]), (3, [-(2.0**40), 1.0]), (3, [2.0**33, 0.25]), (4, [0.1, -0.1])]
+    df = spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<DOUBLE>")
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    for asked in (0, 2):
+        query = next(v for i, v in whole if i == asked)
+        best = sorted((-sum(a * b for a, b in zip(query, v)), i) for i, v in whole if i != asked)[:5]
+        got = topk.top_k(df, F.col("vec_id") == asked).orderBy("rank").collect()
+        assert [(r.vec_id, r.score) for r in got] == [(i, -s) for s, i in best]
+    one = topk.top_k(df.where("vec_id in (0, 2)"), F.col("vec_id") == 0).first()
+    assert (one.vec_id, one.score) == (2, 256 * 512_000_000)
+    with pytest.raises(Exception, match="too large"):
+        topk.top_k(spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id LONG, embedding ARRAY<DOUBLE>"), F.col("vec_id") == 0).collect()
