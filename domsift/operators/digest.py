@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from domsift.functions.text import format_digest_line
+from domsift.functions.text import alert_json, digest_line_parts, format_digest_line
 
 # The code fence around a digest, the default batch size and timer.
 FENCE = "```"
@@ -59,6 +59,17 @@ def digest_sort_key(alert: Column) -> Column:
     )
 
 
+def digest_entry(ts: str = "timestamp") -> Column:
+    """What a digest keeps of an alert: its domain, the line's place, the line around the count, the alert as JSON."""
+    k = digest_sort_key(F.struct("domain", "base_domain", "enrichment"))
+    parts = [F.coalesce(k.getField(c).cast("string"), F.lit("")) for c in ("b_null", "b", "d", "o_null", "o")]
+    head, tail = digest_line_parts(base=group_key())
+    return F.struct(
+        group_key().alias("group"), F.array(*parts).alias("sort_key"), head.alias("head"), tail.alias("tail"),
+        alert_json(timestamp=ts).alias("alert"),
+    )
+
+
 def digest_batches(
     df: DataFrame,
     ts: str = "timestamp",

@@ -317,6 +317,32 @@ firsts AS (SELECT DISTINCT ok[2] AS event_id, ok[1] AS seen_at, domain FROM next
         f"'```' || chr(10) || string_agg(line, chr(10) ORDER BY {order}) || chr(10) || '```' AS text "
         "FROM ll GROUP BY window_start, batch"
     )
+    # row after row of each channel: what is pending, the next tick and the digest's number
+    flush = [
+        """rows_c AS MATERIALIZED (SELECT channel, event_id, epoch_us(seen_at) AS t, coalesce(base_domain, domain) AS g,
+    row_number() OVER (PARTITION BY channel ORDER BY seen_at, event_id) AS pos
+  FROM (SELECT *, unnest(source_tag) AS channel FROM alerts))""",
+        """going AS (SELECT channel, event_id, g, t, pos, 0::BIGINT AS batch, t + 21600000000 AS tick, [g] AS pending, false AS cut FROM rows_c WHERE pos = 1
+  UNION ALL
+  SELECT channel, event_id, g, t, pos, CASE WHEN fresh THEN batch + 1 ELSE batch END,
+    CASE WHEN t >= due THEN due + ((t - due) // 21600000000 + 1) * 21600000000 ELSE due END,
+    CASE WHEN fresh THEN [g] WHEN list_contains(pending, g) THEN pending ELSE list_append(pending, g) END AS now,
+    len(CASE WHEN fresh THEN [g] WHEN list_contains(pending, g) THEN pending ELSE list_append(pending, g) END) = 12
+  FROM (SELECT r.*, w.batch, w.pending, CASE WHEN w.cut THEN w.t + 21600000000 ELSE w.tick END AS due, w.cut OR r.t >= w.tick AS fresh
+    FROM going w JOIN rows_c r ON r.channel = w.channel AND r.pos = w.pos + 1))""",
+        """due AS (SELECT channel, batch, coalesce(max(CASE WHEN cut THEN t END), max(tick)) AS flushed_us, CASE WHEN bool_or(cut) THEN 'size' ELSE 'tick' END AS reason
+  FROM going GROUP BY ALL)""",
+        """lines AS (SELECT p.channel, p.batch, p.pos, p.g, p.cnt, a.*, coalesce(a.base_domain, a.domain) AS b, a.a || a.aaaa AS ips
+  FROM (SELECT channel, batch, g, min(pos) AS pos, arg_min(event_id, pos) AS rep, (count(*) - 1)::BIGINT AS cnt FROM going GROUP BY ALL) p
+  JOIN alerts a ON a.event_id = p.rep)""",
+        f"ll AS (SELECT *, {DIGEST_LINE} AS line FROM lines)",
+    ]
+    q["digest_flush"] = with_(*base, _alerts(False), *flush).replace("WITH ", "WITH RECURSIVE ", 1) + (
+        f"SELECT channel, batch, flushed_us, reason, count(*)::BIGINT AS entries, string_agg(g, ',' ORDER BY pos) AS groups, "
+        f"string_agg(cnt::VARCHAR, ',' ORDER BY pos) AS deduplicated, "
+        f"'```' || chr(10) || string_agg(line, chr(10) ORDER BY {order}) || chr(10) || '```' AS text "
+        "FROM ll JOIN due USING (channel, batch) GROUP BY channel, batch, flushed_us, reason"
+    )
     e2e_keyed = """ak AS (SELECT event_id, seen_at, domain, source_tag, base_domain,
     sha256(coalesce(base_domain, domain) || '|' || array_to_string(list_sort(source_tag), ',')) AS dedup_key FROM alerts)"""
     q["pipeline_end_to_end"] = with_(*base, _alerts(True), e2e_keyed, _suppress("ak", 86400)).replace(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from domsift.functions.dns import dns_status
 from domsift.functions.ip import ip_key
 from domsift.functions.text import alert_json, format_plain, rfc3339
-from domsift.operators import dedup, digest, dns, feed as feed_ops, metrics, ranges, rules, suffix
+from domsift.operators import dedup, digest, dns, feed as feed_ops, flush, metrics, ranges, rules, suffix
 from domsift.operators.alerts import attach_dns_within, build_alerts, dns_snapshot
 from domsift.plans.detect import detect
 from domsift.sources import tables
@@ -69,6 +69,8 @@ FIRST_RESOLUTION_S = 43200
 #: How long after a name is seen its answer still counts (the derived observations are sparse).
 ANSWER_HORIZON_S = 21600
 DIGEST_BATCH = 50
+#: Different domains that send a digest at once (the derived alerts have few).
+FLUSH_SIZE = 12
 
 
 def name_rules() -> rules.RuleSet:
@@ -310,6 +312,16 @@ def q_digest_text(spark: SparkSession, d: str) -> DataFrame:
     return digest.digest_batches(a, "timestamp", DIGEST_WIDTH_S, batch_size=DIGEST_BATCH, order="event_id")
 
 
+def q_digest_flush(spark: SparkSession, d: str) -> DataFrame:
+    """Digests by size or tick, a channel for each rule."""
+    a = _alerts(spark, d).withColumn("channel", F.explode("source_tag"))
+    out = flush.digest_flush(a, "channel", "timestamp", DIGEST_WIDTH_S, FLUSH_SIZE, order="event_id")
+    return out.select(
+        "channel", "batch", F.unix_micros("flushed_at").alias("flushed_us"), "reason", "entries", F.array_join("groups", ",").alias("groups"),
+        F.array_join(F.col("deduplicated").cast("array<string>"), ",").alias("deduplicated"), "text",
+    )
+
+
 def q_pipeline_end_to_end(spark: SparkSession, d: str) -> DataFrame:
     out = detect(
         tables.feed(spark, d),
@@ -390,6 +402,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "alert_plain": q_alert_plain,
     "alert_json": q_alert_json,
     "digest_text": q_digest_text,
+    "digest_flush": q_digest_flush,
     "pipeline_end_to_end": q_pipeline_end_to_end,
     "union_alerts": q_union_alerts,
     "pipeline_counts": q_pipeline_counts,

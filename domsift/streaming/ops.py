@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from domsift.functions.dns import SUCCESS, dns_status
-from domsift.functions.text import alert_json, digest_line_parts
 from domsift.operators import rules as rules_mod
-from domsift.operators.digest import FENCE, aggregate_alerts, digest_sort_key, group_key
+from domsift.operators.digest import FENCE, aggregate_alerts, digest_entry
 from domsift.operators.dns import RetryConfig, nxdomain_offsets_s
 
 try:  # Spark 4: Python stateful processors
@@ -409,16 +408,14 @@ def digest_flush_stream(
 
     One row per digest: the registrable domains in order of arrival with the
     number of further alerts and the first alert (JSON) of each, and the
-    digest text, its lines sorted as in ``digest_batches``.
+    digest text, its lines sorted as in ``digest_batches``. ``digest_flush`` is
+    the batch twin.
     """
-    record = F.struct(*[F.col(c) for c in ("domain", "base_domain", "enrichment")])
-    k = digest_sort_key(record)
-    sort_key = F.to_json(F.array(*[F.coalesce(k.getField(c).cast("string"), F.lit("")) for c in ("b_null", "b", "d", "o_null", "o")]))
-    head, tail = digest_line_parts(base=group_key())
+    e = digest_entry(ts)
     rows = alerts.withWatermark(ts, watermark).select(
         F.col(channel).cast("string").alias("channel"), F.col(ts), *([F.col(order)] if order else []),
-        group_key().alias("group"), sort_key.alias("sort_key"), head.alias("head"), tail.alias("tail"),
-        alert_json(timestamp=ts).alias("alert"),
+        e["group"].alias("group"), F.to_json(e["sort_key"]).alias("sort_key"), e["head"].alias("head"), e["tail"].alias("tail"),
+        e["alert"].alias("alert"),
     )
     return rows.groupBy("channel").transformWithStateInPandas(
         statefulProcessor=_DigestFlushProcessor(int(round(width_seconds * 1_000_000)), batch_size, ts, order),
