@@ -120,10 +120,25 @@ def format_chats(df: DataFrame) -> DataFrame:
     )
 
 
+def learned_text(formatted: Column, mask: Column) -> Column:
+    """The text under the mask's learned runs, unescaped: each run once, in order.
+
+    A turn has three runs of the mask (before, text, after), so a text is cut
+    out of its own turn's string and long transcripts are read once.
+    """
+
+    def under(s: Column, i: Column) -> Column:
+        before, text = F.get(mask, i * 3), F.get(mask, i * 3 + 1)
+        cut = F.substring(s, before["n_chars"] + 1, text["n_chars"])
+        return F.when(text["learn"], unescape(cut)).otherwise(F.lit(""))
+
+    return F.array_join(F.transform(segments(formatted), under), "")
+
+
 def chat_digests(formatted: DataFrame) -> DataFrame:
-    """The contract's columns, all read back from the marked text."""
+    """The contract's columns, all read back from the marked text; the learned text through the loss mask."""
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learned = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    learned = learned_text(F.col("formatted"), F.col("loss_mask"))
     return formatted.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
