@@ -171,6 +171,12 @@ def oracle_sql() -> dict[str, str]:
         r"SELECT event_id, 'mobile' FROM feed WHERE regexp_matches(domain, '^m\.') OR regexp_matches(domain, '^mobile\.') UNION ALL "
         r"SELECT event_id, 'th-net' FROM feed WHERE regexp_matches(domain, '\.net$') AND regexp_matches(domain, '^(www\.)?th')"
     )
+    q["match_rules_indexed"] = with_(HOSTS, FEED) + (
+        "SELECT f.domain, 'c' || c_custkey AS rule_name, f.n, f.last_id "
+        "FROM (SELECT domain, count(*)::BIGINT AS n, max(event_id) AS last_id FROM feed GROUP BY domain) f, (SELECT c_custkey, "
+        "chr((97 + c_custkey % 26)::INT) AS x, chr((97 + c_custkey // 26 % 26)::INT) AS y, chr((97 + c_custkey // 676 % 26)::INT) AS z FROM customer) c "
+        r"WHERE contains(domain, x || y || z) OR (starts_with(domain, x) AND regexp_matches(domain, y || '.*' || z || '\.[a-z]+$'))"
+    )
     q["ignored_names"] = with_(HOSTS, FEED) + (
         "SELECT event_id, domain FROM feed WHERE domain NOT IN (SELECT domain FROM hosts WHERE starts_with(domain, 'www.'))"
     )
@@ -327,7 +333,7 @@ firsts AS (SELECT DISTINCT ok[2] AS event_id, ok[1] AS seen_at, domain FROM next
   SELECT channel, event_id, g, t, pos, CASE WHEN fresh THEN batch + 1 ELSE batch END,
     CASE WHEN t >= due THEN due + ((t - due) // 21600000000 + 1) * 21600000000 ELSE due END,
     CASE WHEN fresh THEN [g] WHEN list_contains(pending, g) THEN pending ELSE list_append(pending, g) END AS now,
-    len(CASE WHEN fresh THEN [g] WHEN list_contains(pending, g) THEN pending ELSE list_append(pending, g) END) = 12
+    len(CASE WHEN fresh THEN [g] WHEN list_contains(pending, g) THEN pending ELSE list_append(pending, g) END) = 6
   FROM (SELECT r.*, w.batch, w.pending, CASE WHEN w.cut THEN w.t + 21600000000 ELSE w.tick END AS due, w.cut OR r.t >= w.tick AS fresh
     FROM going w JOIN rows_c r ON r.channel = w.channel AND r.pos = w.pos + 1))""",
         """due AS (SELECT channel, batch, coalesce(max(CASE WHEN cut THEN t END), max(tick)) AS flushed_us, CASE WHEN bool_or(cut) THEN 'size' ELSE 'tick' END AS reason

@@ -17,6 +17,7 @@ from domsift.functions.ip import ip_key
 from domsift.functions.text import alert_json, format_plain, rfc3339
 from domsift.operators import dedup, digest, dns, feed as feed_ops, flush, metrics, ranges, rules, suffix
 from domsift.operators.alerts import attach_dns_within, build_alerts, dns_snapshot
+from domsift.operators.rule_index import match_rules_indexed
 from domsift.plans.detect import detect
 from domsift.sources import tables
 from domsift.sources.feed import parse_messages
@@ -70,7 +71,7 @@ FIRST_RESOLUTION_S = 43200
 ANSWER_HORIZON_S = 21600
 DIGEST_BATCH = 50
 #: Different domains that send a digest at once (the derived alerts have few).
-FLUSH_SIZE = 12
+FLUSH_SIZE = 6
 
 
 def name_rules() -> rules.RuleSet:
@@ -126,6 +127,24 @@ def q_match_rules_table(spark: SparkSession, d: str) -> DataFrame:
     return rules.match_rules_table(tables.feed(spark, d), rt).select("event_id", "rule_name")
 
 
+def _customer_rules(spark: SparkSession, d: str) -> DataFrame:
+    """A rule tree for each customer: three letters by its key, anywhere, or spread over the start and a later place."""
+    k = F.col("c_custkey")
+    letter = lambda n: F.chr(97 + F.pmod(F.floor(k / F.lit(n)), F.lit(26)))
+    leaf = lambda *parts: F.concat(F.lit('{"domain_regex": "'), *[F.lit(p) if isinstance(p, str) else p for p in parts], F.lit('"}'))
+    three = F.concat(letter(1), letter(26), letter(676))
+    both = F.concat(F.lit('{"all": ['), leaf("^", letter(1)), F.lit(", "), leaf(letter(26), ".*", letter(676), r"\\.[a-z]+$"), F.lit("]}"))
+    either = F.concat(F.lit('{"any": ['), leaf(three), F.lit(", "), both, F.lit("]}"))
+    return tables.table(spark, d, "customer").select(
+        F.lit("customers").alias("file"), k.cast("int").alias("ord"), F.concat(F.lit("c"), k.cast("string")).alias("name"), either.alias("expr_json")
+    )
+
+
+def q_match_rules_indexed(spark: SparkSession, d: str) -> DataFrame:
+    out = match_rules_indexed(tables.feed(spark, d), _customer_rules(spark, d))
+    return out.groupBy("domain", "rule_name").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_id"))
+
+
 def q_ignored_names(spark: SparkSession, d: str) -> DataFrame:
     deny = tables.hosts(spark, d).where(F.col("domain").startswith("www.")).select("domain")
     return feed_ops.ignored_names(tables.feed(spark, d), deny).select("event_id", "domain")
@@ -380,6 +399,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rule_tags": q_rule_tags,
     "rule_counts": q_rule_counts,
     "match_rules_table": q_match_rules_table,
+    "match_rules_indexed": q_match_rules_indexed,
     "ignored_names": q_ignored_names,
     "patterns_to_rules": q_patterns_to_rules,
     "rule_file_stats": q_rule_file_stats,
