@@ -21,11 +21,14 @@ from pyspark.sql import functions as F
 
 from domsift.functions.ip import ip_key, key_pred, key_succ, version_of_key
 from domsift.operators.alerts import ENRICHMENT_TYPE
+from domsift.operators.scan import carry_along
+from domsift.operators.store import stored
 
 LEVELS = ((4, 14), (4, 13), (6, 4), (6, 3), (6, 2), (6, 1))
 PAYLOAD = ("as_number", "as_name", "country_code")
-# Broadcast the piece table only below this many rows (checked by a count).
-MAX_BROADCAST_PIECES = 4_000_000
+# Broadcast the piece table only up to this many bytes of values and row overhead (measured first).
+MAX_BROADCAST_BYTES = 256 << 20
+_ROW_OVERHEAD = 64
 
 
 def _byte_at(key: Column, n: int) -> Column:
@@ -168,62 +171,75 @@ def enrich_keys(
     """Left interval join: every point row kept, payload of the covering range or nulls.
 
     ``ranges``: ``(ver, lo, hi, payload.., row_ord)``; normalised here unless
-    ``normalised=True``.  The piece table is broadcast only when its row
-    count is below ``MAX_BROADCAST_PIECES`` (counted first); then the join
-    is a chain of broadcast hash joins, one for each level that has pieces,
-    and the big side never shuffles.
-    Otherwise the distinct keys are probed through a shuffle join and joined
-    back, AQE splitting skewed keys.
+    ``normalised=True``.  The piece table is broadcast only where its bytes,
+    which are measured first, are at most ``MAX_BROADCAST_BYTES``; then the
+    join is a chain of broadcast hash joins, one for each level that has
+    pieces, and the big side never shuffles.
+    Otherwise distinct keys and ranges are swept together in key order
+    (``sweep_keys``) and joined back; points without a key stay spread.
     """
     norm = ranges if normalised else normalise_ranges(ranges, payload)
+    if broadcast is False:
+        return _joined_back(points, norm, ver, key, payload)
     # The piece table is small (ranges, not points): materialise it once in the
     # shared checkpoint folder so the probe plan stays small and lineage is cut.
     pieces = _piece_table(norm, payload).checkpoint(eager=True)
-    sizes = {(r.ver, r.lvl): r["count"] for r in pieces.groupBy("ver", "lvl").count().collect()}  # six at most
-    if broadcast is None:
-        broadcast = sum(sizes.values()) <= MAX_BROADCAST_PIECES
-    if broadcast:
-        out = points
-        names = []
-        for i, (v, n) in enumerate(LEVELS):
-            if (v, n) not in sizes:
-                continue
-            side = pieces.where((F.col("ver") == v) & (F.col("lvl") == n)).select(
-                F.col("bucket").alias(f"_b{i}"),
-                F.col("lo").alias(f"_lo{i}"),
-                F.col("hi").alias(f"_hi{i}"),
-                *[F.col(c).alias(f"_p{i}_{c}") for c in payload],
-            )
-            cond = (
-                (F.col(ver) == F.lit(v))
-                & (F.substring(F.col(key), 1, n) == F.col(f"_b{i}"))
-                & F.col(key).between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
-            )
-            out = out.join(F.broadcast(side), cond, "left")
-            names.append(i)
-        res = out.select(
-            *points.columns,
-            *[
-                F.coalesce(F.lit(None).cast(pieces.schema[c].dataType), *[F.col(f"_p{i}_{c}") for i in names]).alias(c)
-                for c in payload
-            ],
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in payload), F.lit(3 * 16 + _ROW_OVERHEAD))
+    sizes = {(r.ver, r.lvl): r.bytes for r in pieces.groupBy("ver", "lvl").agg(F.sum(width).alias("bytes")).collect()}  # six at most
+    if broadcast is None and sum(sizes.values()) > MAX_BROADCAST_BYTES:
+        return _joined_back(points, norm, ver, key, payload)
+    out = points
+    names = []
+    for i, (v, n) in enumerate(LEVELS):
+        if (v, n) not in sizes:
+            continue
+        side = pieces.where((F.col("ver") == v) & (F.col("lvl") == n)).select(
+            F.col("bucket").alias(f"_b{i}"),
+            F.col("lo").alias(f"_lo{i}"),
+            F.col("hi").alias(f"_hi{i}"),
+            *[F.col(c).alias(f"_p{i}_{c}") for c in payload],
+        )
+        cond = (
+            (F.col(ver) == F.lit(v))
+            & (F.substring(F.col(key), 1, n) == F.col(f"_b{i}"))
+            & F.col(key).between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
         )
-        return res
-    # Shuffle path: probe distinct keys, then join back.
-    keys = points.select(F.col(ver).alias("_v"), F.col(key).alias("_k")).where(F.col("_k").isNotNull()).distinct()
-    probes = keys.select(
-        "_v",
-        "_k",
-        F.explode(_probes(F.col("_v"), F.col("_k"))).alias("_p"),
+        out = out.join(F.broadcast(side), cond, "left")
+        names.append(i)
+    return out.select(
+        *points.columns,
+        *[
+            F.coalesce(F.lit(None).cast(pieces.schema[c].dataType), *[F.col(f"_p{i}_{c}") for i in names]).alias(c)
+            for c in payload
+        ],
     )
-    hit = probes.join(
-        pieces,
-        (F.col("_v") == pieces["ver"])
-        & (F.col("_p.lvl") == pieces["lvl"])
-        & (F.col("_p.bucket") == pieces["bucket"])
-        & F.col("_k").between(pieces["lo"], pieces["hi"]),
-    ).select("_v", "_k", *payload)
-    return points.join(hit, (F.col(ver).eqNullSafe(F.col("_v"))) & (F.col(key) == F.col("_k")), "left").drop("_v", "_k")
+
+
+def sweep_keys(keys: DataFrame, norm: DataFrame, payload: tuple[str, ...] = PAYLOAD) -> DataFrame:
+    """Different keys (``_v``, ``_k``) inside disjoint ranges (``ver``, ``lo``, ``hi``): the keys met and the payload.
+
+    Keys and range starts are sorted together over range partitions; a key's
+    range is the last one that began, in its own partition or handed over from
+    an earlier one. No range is cut into pieces and none is broadcast, so the
+    ranges may be as many as the keys.
+    """
+    begun = F.struct(F.col("ver"), F.col("hi"), *[F.col(c) for c in payload])
+    starts = norm.select(F.col("ver").alias("_v"), F.col("lo").alias("_k"), F.lit(0).alias("_kind"), begun.alias("_range"))
+    asked = keys.select("_v", "_k", F.lit(1).alias("_kind")).withColumn("_range", F.lit(None).cast(starts.schema["_range"].dataType))
+    spread = starts.unionByName(asked).repartitionByRange("_v", "_k").withColumn("_part", F.spark_partition_id())
+    met = carry_along(stored(spread, "sweep"), "_part", ["_v", "_k", "_kind"], "_range", "_open")
+    inside = (F.col("_kind") == 1) & (F.col("_open.ver") == F.col("_v")) & (F.col("_k") <= F.col("_open.hi"))
+    return met.where(inside).select("_v", "_k", *[F.col("_open").getField(c).alias(c) for c in payload])
+
+
+def _joined_back(points: DataFrame, norm: DataFrame, ver: str, key: str, payload: tuple[str, ...]) -> DataFrame:
+    """The sweep of the points' different keys, joined back to all points."""
+    keys = points.select(F.col(ver).cast("int").alias("_v"), F.col(key).alias("_k")).where("_v is not null and _k is not null").distinct()
+    hit = sweep_keys(keys, norm.withColumn("ver", F.col("ver").cast("int")), payload)
+    # a point without a key meets nothing; a short stand-in by partition keeps such points off one task
+    sought = F.coalesce(F.col(key), F.encode(F.spark_partition_id().cast("string"), "UTF-8"))
+    met = points.withColumn("_sought", sought).join(hit, (F.col(ver) == F.col("_v")) & (F.col("_sought") == F.col("_k")), "left")
+    return met.select(*points.columns, *[hit[c] for c in payload])
 
 
 def enrich_ips(
@@ -252,10 +268,7 @@ def enrich_dns_table(
     """Attach ``enrichment ARRAY<STRUCT<ip, as_number, as_name, country_code>>`` in address order.
 
     Addresses are exploded with their position, enriched by the interval
-    join and re-nested by the row keys.  Callers that have already hash-
-    partitioned ``dns`` by ``domain`` pay no extra exchange for the regroup
-    (a hash partitioning on ``domain`` satisfies grouping by ``domain, ..``).
-    Rows without addresses keep an empty list.  Without a provider
+    join and re-nested by the row keys and a row number.  Rows without addresses keep an empty list.  Without a provider
     (``ranges=None``) every list is empty.
     """
     if ranges is None:
@@ -263,7 +276,9 @@ def enrich_dns_table(
     ips = F.concat(F.coalesce(F.col(a), F.array().cast("array<string>")), F.coalesce(F.col(aaaa), F.array().cast("array<string>")))
     others = [c for c in dns.columns if c not in row_keys]
     # rows of equal keys stay rows of their own
-    exploded = dns.withColumn("_row", F.monotonically_increasing_id()).select("*", F.posexplode_outer(ips).alias("pos", "ip"))
+    # (numbered in a written table, so that a task that is run again finds the same numbers)
+    numbered = stored(dns.withColumn("_row", F.monotonically_increasing_id()), "dns")
+    exploded = numbered.select("*", F.posexplode_outer(ips).alias("pos", "ip"))
     enriched = enrich_ips(exploded, ranges, "ip", PAYLOAD, normalised, broadcast)
     entry = F.when(
         F.col("pos").isNotNull(),

@@ -67,3 +67,19 @@ def trailing(df: DataFrame, keys: list[str], us: Column, window_seconds: float,
     w = Window.partitionBy(*keys, "_bucket").orderBy("_us").rangeBetween(-width, 0)
     summed = dealt.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()])
     return summed.where("_context = 0").drop("_us", "_bucket", "_context")
+
+
+def carry_along(df: DataFrame, part: str, order: list[str], value: str, name: str) -> DataFrame:
+    """Add ``name``: the last ``value`` that is not null up to the row, over parts that follow one another in order.
+
+    ``part`` numbers range partitions in the order of ``order``. Parts are swept
+    apart; each one's last value is handed on by a table of one row a part.
+    """
+    rank = F.struct(*[F.col(c) for c in order])
+    ends = df.groupBy(part).agg(F.max_by(value, F.when(F.col(value).isNotNull(), rank)).alias("_end"))
+    # one row a partition
+    along = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(part, F.last("_end", ignorenulls=True).over(along).alias("_carried"))
+    inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    met = df.join(F.broadcast(carried), part, "left")
+    return met.withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_carried"))).drop("_carried")

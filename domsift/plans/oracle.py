@@ -206,6 +206,7 @@ def oracle_sql() -> dict[str, str]:
         "pts AS (SELECT event_id, (i - 1)::BIGINT AS pos, (a || aaaa)[i] AS ip FROM dns, range(1, len(a || aaaa) + 1) r(i))",
         _lookup("pts", "event_id,pos"),
     ) + "SELECT event_id, pos, ip, as_number, as_name, country_code FROM looked"
+    q["asn_join_sweep"] = q["asn_join"]
     q["asn_docs"] = with_(
         RANGES,
         r"""found AS (SELECT doc_id, (i - 1)::BIGINT AS pos, l[i] AS ip FROM (

@@ -182,6 +182,13 @@ def q_asn_join(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def q_asn_join_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """``asn_join`` as it runs where the ranges are too large to broadcast."""
+    pts = tables.dns_observations(spark, d).select("event_id", F.posexplode(F.concat("a", "aaaa")).alias("pos", "ip"))
+    out = ranges.enrich_ips(pts, tables.asn_ranges(spark, d), broadcast=False)
+    return out.select("event_id", "pos", "ip", "as_number", "as_name", "country_code")
+
+
 def q_asn_docs(spark: SparkSession, d: str) -> DataFrame:
     docs = tables.table(spark, d, "documents").select("doc_id", "text")
     found = docs.select(
@@ -405,6 +412,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rule_file_stats": q_rule_file_stats,
     "range_normalise": q_range_normalise,
     "asn_join": q_asn_join,
+    "asn_join_sweep": q_asn_join_sweep,
     "asn_docs": q_asn_docs,
     "asn_enrich_nested": q_asn_enrich_nested,
     "registrable_domain": q_registrable_domain,

@@ -98,3 +98,32 @@ def test_equal_dns_rows_stay_apart(spark):
     none = spark.createDataFrame([], "ver INT, lo BINARY, hi BINARY, as_number BIGINT, as_name STRING, country_code STRING, row_ord BIGINT")
     got = sorted([e.ip for e in r.enrichment] for r in enrich_dns_table(dns, none).collect())
     assert got == [["192.0.2.1"], ["192.0.2.2", "192.0.2.3"]]
+
+
+def test_sweep_equals_broadcast(spark):
+    rnd = random.Random(9)
+    ranges, at4, at6 = [], 0, int(ipaddress.ip_address("2001:db8::"))
+    for i in range(300):  # touching ranges, gaps, one that spans several partitions, both versions
+        lo = at4 + rnd.choice([0, 0, 1, 5000])
+        at4 = lo + rnd.choice([1, 256, 70_000, 2**28 if i == 150 else 9])
+        ranges.append((str(ipaddress.IPv4Address(lo)), str(ipaddress.IPv4Address(at4 - 1)), i, "C", f"N{i}", i))
+        lo = at6 + rnd.choice([0, 2**70])
+        at6 = lo + rnd.choice([1, 2**64, 2**90])
+        ranges.append((str(ipaddress.IPv6Address(lo)), str(ipaddress.IPv6Address(at6 - 1)), 1000 + i, "C", f"M{i}", 1000 + i))
+    raw = spark.createDataFrame(ranges, "start_ip STRING, end_ip STRING, asn BIGINT, country STRING, description STRING, row_ord BIGINT")
+    table = asn_ranges_from_rows(raw)
+    ends = [(int(ipaddress.ip_address(r[k])), ipaddress.ip_address(r[k]).version) for r in ranges for k in (0, 1)]
+    near = [(n + d, v) for n, v in ends for d in (-1, 0, 1) if n + d >= 0]
+    ips = [str((ipaddress.IPv4Address if v == 4 else ipaddress.IPv6Address)(n)) for n, v in near] + [None] * 50 + ["no address"] + ["0.0.0.9"] * 200
+    pts = spark.createDataFrame([(i, ip) for i, ip in enumerate(ips)], "id INT, ip STRING").repartition(5)
+    rows = lambda **kw: sorted(map(tuple, enrich_ips(pts, table, **kw).collect()))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        swept = rows(broadcast=False)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert swept == rows(broadcast=True) == rows() and len(swept) == len(ips)
+    assert sum(r[2] is not None for r in swept) > len(near) // 2
+    empty = table.limit(0)
+    assert all(r.as_number is None for r in enrich_ips(pts, empty, broadcast=False).collect())
+    assert enrich_ips(pts.limit(0), table, broadcast=False).count() == 0
