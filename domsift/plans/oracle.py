@@ -238,6 +238,12 @@ def oracle_sql() -> dict[str, str]:
     q["dns_latency"] = with_(HOSTS, DNS) + (
         f"SELECT status, count(*)::BIGINT AS n, round(sum(latency_s), 6) AS total_s, {pct} FROM dnss GROUP BY status"
     )
+    # the exact nearest-rank value, then the middle of the 1 % bucket that holds it
+    g = "(1.01 / 0.99)"
+    mid = "round(CASE WHEN {p} <= 1e-9 THEN 0 ELSE pow({g}, ceil(ln({p}) / ln({g}))) * 2 / (1 + {g}) END, 6) AS {p}"
+    q["dns_latency_sketch"] = with_(HOSTS, DNS, f"per AS (SELECT status, count(*)::BIGINT AS n, {pct} FROM dnss GROUP BY status)") + (
+        "SELECT status, n, " + ", ".join(mid.format(p=p, g=g) for p in ("p50", "p90", "p95", "p99")) + " FROM per"
+    )
     checks = "c AS (SELECT event_id, 'r' || (user_id % 7) AS resolver, ts, event_type <> 'error' AS ok FROM events)"
     q["health_transitions"] = with_(
         checks, "h AS (SELECT *, coalesce(lag(ok) OVER (PARTITION BY resolver ORDER BY ts, event_id), true) AS prev FROM c)"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from domsift.functions.dns import dns_status
 from domsift.functions.ip import ip_key
 from domsift.functions.text import alert_json, format_plain, rfc3339
-from domsift.operators import dedup, digest, dns, feed as feed_ops, flush, metrics, ranges, rules, suffix
+from domsift.operators import dedup, digest, dns, feed as feed_ops, flush, metrics, ranges, rules, sketch, suffix
 from domsift.operators.alerts import attach_dns_within, build_alerts, dns_snapshot
 from domsift.operators.rule_index import match_rules_indexed
 from domsift.plans.detect import detect
@@ -253,6 +253,15 @@ def q_dns_latency(spark: SparkSession, d: str) -> DataFrame:
     return metrics.dns_latency_summary(dns.with_status(tables.dns_observations(spark, d)), exact=True)
 
 
+def q_dns_latency_sketch(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches of each hour and status, merged by status."""
+    hour = F.window("observed_at", "1 hour").getField("start").alias("hour")
+    hourly = sketch.quantile_sketch(dns.with_status(tables.dns_observations(spark, d)), [hour, "status"], "latency_s")
+    return sketch.sketch_quantiles(sketch.merge_sketches(hourly, ["status"]), ["status"]).select(
+        "status", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p90", "p95", "p99")]
+    )
+
+
 def _checks(spark: SparkSession, d: str) -> DataFrame:
     ev = tables.table(spark, d, "events")
     return ev.select(
@@ -420,6 +429,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dns_status": q_dns_status,
     "dns_status_counts": q_dns_status_counts,
     "dns_latency": q_dns_latency,
+    "dns_latency_sketch": q_dns_latency_sketch,
     "health_transitions": q_health_transitions,
     "failure_rate": q_failure_rate,
     "first_resolution": q_first_resolution,

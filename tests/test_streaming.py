@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from domsift.functions.text import format_plain
 from domsift.operators.dedup import suppress_repeats
 from domsift.operators.dns import retry_outcome
-from domsift.sinks.writers import fan_out, stream_alerts
+from domsift.operators.sketch import merge_sketches, quantile_sketch, sketch_quantiles
+from domsift.sinks.writers import epoch_sink, fan_out, ledger_counts, stream_alerts
 from domsift.streaming import ops
 
 T0 = dt.datetime(2024, 1, 1, 12, 0, 0)
@@ -142,3 +143,53 @@ def test_stream_sinks_and_counts(spark):
     query.awaitTermination(180)
     assert sorted(kept) == [1, 2, 3, 4]
     assert counted[3:6] == [(1, "broken", 0, 2), (1, "all", 2, 0), (1, "some", 1, 1)]
+
+
+def test_replayed_epochs_are_sent_and_counted_once(spark):
+    d = tempfile.mkdtemp(prefix="domsift-ledger-")
+    first, second = (spark.createDataFrame([alert(i, i, f"{i}.example.com") for i in ids], ALERT) for ids in ((1, 2), (3,)))
+    sent, down, counted = [], [True], []
+
+    def posts(batch, epoch):
+        sent.extend(r.id for r in batch.collect())
+
+    def shaky(batch, epoch):
+        if down:
+            raise RuntimeError("down")
+        return batch.count()
+
+    sinks = {"file": epoch_sink(f"{d}/out"), "posts": posts, "shaky": shaky}
+    fan_out(sinks, counted.extend, f"{d}/ledger")(first, 0)
+    down.clear()
+    again = fan_out(sinks, counted.extend, f"{d}/ledger")  # a restarted query
+    again(first, 0)
+    again(second, 1)
+    again(second, 1)
+    assert sorted(sent) == [1, 2, 3]
+    assert spark.read.text(f"{d}/out").count() == 3
+    got = {(r.sink, r.epoch): (r.sent, r.failed) for r in ledger_counts(spark, f"{d}/ledger").collect()}
+    assert got == {("file", 0): (2, 0), ("posts", 0): (2, 0), ("shaky", 0): (2, 0), ("file", 1): (1, 0), ("posts", 1): (1, 0), ("shaky", 1): (1, 0)}
+    assert counted == [(0, "file", 2, 0), (0, "posts", 2, 0), (0, "shaky", 0, 2), (0, "shaky", 2, 0)] + [(1, s, 1, 0) for s in sinks]
+    epoch_sink(f"{d}/out")(second, 1)  # lost before its entry: written again, not twice
+    assert spark.read.text(f"{d}/out").count() == 3
+
+
+def test_sketch_batch_and_stream(spark):
+    schema = "ts TIMESTAMP, status STRING, latency DOUBLE"
+    draw = random.Random(2)
+    rows = [(at(i), draw.choice("ab"), draw.choice([0.0, -1.0, draw.expovariate(3), draw.lognormvariate(0, 4)])) for i in range(900)]
+    odd = [(at(5), "a", None), (at(5), "a", float("nan")), (at(5), "b", float("inf"))]
+    given = spark.createDataFrame(rows + odd, schema)
+    exact = {s: sorted(max(v, 0.0) for _, k, v in rows if k == s) for s in "ab"}
+    hourly = quantile_sketch(given, [F.window("ts", "60 seconds").alias("w"), "status"], "latency", 0.02)
+    for r in sketch_quantiles(merge_sketches(hourly, ["status"]), ["status"], (0.0, 0.25, 0.5, 0.999, 1.0), 0.02).collect():
+        values = exact[r.status]
+        assert r.n == len(values)
+        for q, name in ((0.0, "p0"), (0.25, "p25"), (0.5, "p50"), (0.999, "p99_9"), (1.0, "p100")):
+            want = values[max(-int(-len(values) * q // 1), 1) - 1]
+            assert abs(r[name] - want) <= 0.02 * want + 1e-9
+    src = _stream(spark, schema, rows[:400], rows[400:], [(at(5000), "z", 1.0)]).withWatermark("ts", "1 minute")
+    live = _run(spark, quantile_sketch(src, [F.window("ts", "60 seconds").alias("w"), "status"], "latency", 0.02), "sketch1")
+    whole = lambda df: sorted((r.w.start, r.status, r.bucket, r.n) for r in df.collect() if r.status != "z")
+    assert whole(live) == whole(hourly)
+    assert sketch_quantiles(merge_sketches(hourly.limit(0), ["status"]), ["status"]).count() == 0
