@@ -57,16 +57,30 @@ def look(
 def trailing(df: DataFrame, keys: list[str], us: Column, window_seconds: float, sums: dict[str, Column]) -> DataFrame:
     """Add sums over the key's rows of the trailing ``window_seconds`` (both ends included, rows of equal time too).
 
-    Buckets are as wide as the window, so a row's window lies in its own bucket
-    and the one before: every row is also dealt, as context only, to the next.
+    ``sums`` are of whole numbers or decimals. Buckets are as wide as the window, so
+    a row's window lies in its own bucket and the one before: every row is also
+    dealt, as context only, to the next. There it counts from the start and leaves
+    when the window has passed it, so that one running sum gives every row's answer
+    and a bucket of n rows costs n steps after its sort. Rows without a time are
+    each other's window.
     """
     width = max(1, int(round(window_seconds * 1_000_000)))
     rows = df.withColumn("_us", us)
     own = bucket_of(F.col("_us"), width)
     dealt = rows.select("*", F.posexplode(F.when(own.isNull(), F.array(own)).otherwise(F.array(own, own + 1))).alias("_context", "_bucket"))
-    w = Window.partitionBy(*keys, "_bucket").orderBy("_us").rangeBetween(-width, 0)
-    summed = dealt.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()])
-    return summed.where("_context = 0").drop("_us", "_bucket", "_context")
+    left = F.col("_context") == 1
+    dealt = dealt.withColumn("_at", F.when(left, F.col("_us") + width + 1).otherwise(F.col("_us")))
+    whole = Window.partitionBy(*keys, "_bucket").orderBy("_at")
+    before = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    running = whole.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def within(value: Column) -> Column:
+        came = F.sum(F.when(left, -value).otherwise(value)).over(running)
+        return F.coalesce(F.sum(F.when(left, value)).over(before), F.lit(0)) + came
+
+    counted = {n: within(F.when(c.isNotNull(), 1).otherwise(0).cast("bigint")) for n, c in sums.items()}
+    summed = dealt.select("*", *[F.when(counted[n] > 0, within(F.coalesce(c, F.lit(0)))).alias(n) for n, c in sums.items()])
+    return summed.where("_context = 0").drop("_us", "_bucket", "_context", "_at")
 
 
 def carry_along(df: DataFrame, part: str, order: list[str], value: str, name: str) -> DataFrame:

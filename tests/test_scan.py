@@ -49,6 +49,20 @@ def test_trailing_sums(spark):
         assert got[tie] == (len(near), sum(r[3] == "x" for r in near))
 
 
+def test_trailing_sums_run_once_over_a_bucket(spark):
+    """A frame that slides is summed anew at each row; null times and values keep their sums."""
+    given = [(k, us, tie, None if v == "z" else tie) for k, us, tie, v in rows(6)]
+    df = spark.createDataFrame(given, "key STRING, us BIGINT, tie INT, worth BIGINT").repartition(3)
+    out = scan.trailing(df, ["key"], F.col("us"), 0.001, {"n": F.lit(1).cast("bigint"), "total": F.col("worth")})
+    assert out.columns == [*df.columns, "n", "total"]
+    assert "RangeFrame, -1000" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.tie: (r.n, r.total) for r in out.collect()}
+    for key, us, tie, _ in given:
+        near = [r for r in given if r[0] == key and (r[1] is None if us is None else r[1] is not None and us - 1000 <= r[1] <= us)]
+        worth = [r[3] for r in near if r[3] is not None]
+        assert got[tie] == (len(near), sum(worth) if worth else None)
+
+
 def greedy(given, ttl):
     last, passed = {}, set()
     for key, t in sorted(given):
