@@ -49,6 +49,14 @@ def dns_status(
     )
 
 
+def is_success(
+    ns_error: Column | str = "ns_error", a: Column | str = "a", aaaa: Column | str = "aaaa"
+) -> Column:
+    """Whether ``dns_status`` is success: the short form for filters, which don't share subexpressions."""
+    some = F.coalesce(F.size(_c(a)) > 0, F.lit(False)) | F.coalesce(F.size(_c(aaaa)) > 0, F.lit(False))
+    return _c(ns_error).isNull() & some
+
+
 def dns_error_text(
     domain: Column | str = "domain",
     ns_error: Column | str = "ns_error",

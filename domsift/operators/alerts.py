@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from domsift.functions.dns import SUCCESS, dns_status
+from domsift.functions.dns import is_success
 from domsift.operators.dedup import epoch_micros
-from domsift.operators.scan import BUCKET_SECONDS, look
+from domsift.operators.scan import BUCKET_SECONDS, join_null_safe, look
+from domsift.operators.store import stored
 
 ENRICHMENT_TYPE = "array<struct<ip:string,as_number:bigint,as_name:string,country_code:string>>"
 
@@ -15,10 +16,13 @@ ENRICHMENT_TYPE = "array<struct<ip:string,as_number:bigint,as_name:string,countr
 def dns_snapshot(dns: DataFrame, domain: str = "domain", ts: str = "observed_at", order: str | None = None) -> DataFrame:
     """Latest successful answer per name (the answer cache as a table).
 
-    ``max_by`` is a partial aggregate: a name observed a million times is
-    combined map-side before the exchange on ``domain``.
+    The latest time of each name is found first, by a hash aggregate of narrow
+    rows; only the answers of that time are ranked as whole rows (whole rows of all
+    answers would be sorted).
     """
-    ok = dns.where(dns_status() == F.lit(SUCCESS))
+    ok = dns.where(is_success())
+    latest = stored(ok.groupBy(domain).agg(F.max(ts).alias(ts)), "latest")
+    ok = join_null_safe(ok, latest, [domain, ts], "inner")
     rank = F.struct(F.col(ts), *([F.col(order)] if order else []))
     others = [c for c in dns.columns if c != domain]
     agg = ok.groupBy(domain).agg(F.max_by(F.struct(*[F.col(c) for c in others]), rank).alias("_o"))
@@ -46,7 +50,7 @@ def attach_dns_within(
     taken = set(added) & set(feed.columns)
     if taken:
         raise ValueError(f"both sides have columns {sorted(taken)}")
-    answers = dns.where(dns_status() == F.lit(SUCCESS))
+    answers = dns.where(is_success())
     ask = feed.select(
         F.col(domain).alias("_d"), epoch_micros(feed, seen).alias("_at"), F.lit(0).alias("_kind"), F.struct(*feed.columns).alias("_row"),
         F.lit(None).cast(answers.select(F.struct(*added).alias("s")).schema["s"].dataType).alias("_answer"),

@@ -66,7 +66,7 @@ def dns_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.lit(2097152) * _n_suppliers(spark, sf_dir)
     base = F.pmod(F.col("user_id") * F.lit(IP_MULT) + F.col("event_id"), m)
     n_a = F.pmod(F.col("event_id"), F.lit(3)) + 1
-    a_list = F.transform(F.sequence(F.lit(0), n_a - 1), lambda k: ipv4_text(F.pmod(base + k * F.lit(IP_STEP), m)))
+    a_list = F.slice(F.array(*[ipv4_text(F.pmod(base + F.lit(k * IP_STEP), m)) for k in range(3)]), F.lit(1), n_a.cast("int"))
     aaaa_list = F.when(
         F.col("event_type") == "click",
         F.array(F.concat(F.lit("2001:db8::"), F.lower(F.hex(F.pmod(F.col("event_id"), F.lit(65536)))))),
