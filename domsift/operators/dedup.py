@@ -75,7 +75,8 @@ def suppress_repeats(
     if ttl_us <= 0:
         return df.withColumn("passed", F.lit(True))
     keyed = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
-    rows = stored(df.withColumn("_k", keyed).withColumn("_t", epoch_micros(df, ts)), "repeats")
+    numbered = df.withColumn("_k", keyed).withColumn("_t", epoch_micros(df, ts)).withColumn("_row", F.monotonically_increasing_id())
+    rows = stored(numbered, "repeats")
     points = rows.where("_t is not null").select("_k", "_t")
     many = points.groupBy("_k").agg(F.count_distinct("_t").alias("_n")).where(F.col("_n") > fold_times).select("_k")
     if many.isEmpty():
@@ -84,10 +85,13 @@ def suppress_repeats(
         many = stored(many, "hot")
         hot = passing_times(points.join(many, "_k", "left_semi"), ttl_us)
         times = folded_times(points.join(many, "_k", "left_anti"), ttl_us).unionByName(hot)
-    times = times.withColumn("_hit", F.lit(True))
-    same = Window.partitionBy("_k", "_t").orderBy(*([order] if order else ["_t"]))
-    flagged = rows.join(times, ["_k", "_t"], "left").withColumn("_n", F.row_number().over(same))
-    passed = F.col("_t").isNull() | (F.coalesce(F.col("_hit"), F.lit(False)) & (F.col("_n") == 1))
+    # one row of each time that passes; only these few meet the whole rows again
+    times = stored(times, "times")
+    rank = F.struct(*([F.col(order).alias("_o")] if order else []), "_row")
+    at = rows.select("_k", "_t", rank.alias("_rank")).join(times, ["_k", "_t"])
+    first = stored(at.groupBy("_k", "_t").agg(F.min("_rank")["_row"].alias("_row")).select("_row", F.lit(True).alias("_hit")), "passing")
+    flagged = rows.join(first, "_row", "left")
+    passed = F.col("_t").isNull() | F.coalesce(F.col("_hit"), F.lit(False))
     return flagged.select(*df.columns, passed.alias("passed"))
 
 
