@@ -18,6 +18,7 @@ from domsift.functions.text import alert_json, format_plain, rfc3339
 from domsift.operators import dedup, digest, dns, feed as feed_ops, flush, metrics, ranges, rules, sketch, suffix
 from domsift.operators.alerts import attach_dns_within, build_alerts, dns_snapshot
 from domsift.operators.rule_index import match_rules_indexed
+from domsift.operators.store import stored
 from domsift.plans.detect import detect
 from domsift.sources import tables
 from domsift.sources.feed import parse_messages
@@ -357,10 +358,10 @@ def q_digest_flush(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def q_pipeline_end_to_end(spark: SparkSession, d: str) -> DataFrame:
+def _passed(spark: SparkSession, d: str, answers: DataFrame) -> DataFrame:
     out = detect(
         tables.feed(spark, d),
-        _enriched_snapshot(spark, d),
+        answers,
         enriched_rules(),
         tables.suffix_rules(spark),
         ttl_seconds=SUPPRESS_TTL_S,
@@ -371,6 +372,10 @@ def q_pipeline_end_to_end(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def q_pipeline_end_to_end(spark: SparkSession, d: str) -> DataFrame:
+    return _passed(spark, d, _enriched_snapshot(spark, d))
+
+
 def q_union_alerts(spark: SparkSession, d: str) -> DataFrame:
     from domsift.operators.alerts import union_alerts
 
@@ -398,8 +403,9 @@ def q_pipeline_counts(spark: SparkSession, d: str) -> DataFrame:
     f = tables.feed(spark, d)
     rs = enriched_rules()
     kept = rules.ignore_filter(f, rs.ignore)
-    alerts = detect(f, _enriched_snapshot(spark, d), rs, tables.suffix_rules(spark), ttl_seconds=None, apply_ignore=True)
-    passed = q_pipeline_end_to_end(spark, d)
+    answers = stored(_enriched_snapshot(spark, d), "snapshot")
+    alerts = detect(f, answers, rs, tables.suffix_rules(spark), ttl_seconds=None, apply_ignore=True)
+    passed = _passed(spark, d, answers)
     parts = metrics.pipeline_counts(f, kept=kept, alerts=alerts, passed=passed)
     out = None
     for stage, df in parts.items():
