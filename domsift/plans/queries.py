@@ -142,8 +142,10 @@ def _customer_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_match_rules_indexed(spark: SparkSession, d: str) -> DataFrame:
-    out = match_rules_indexed(tables.feed(spark, d), _customer_rules(spark, d))
-    return out.groupBy("domain", "rule_name").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_id"))
+    """Each name's sightings are summed up before it meets the rules: the pairs are of names and rules, not of rows."""
+    names = tables.feed(spark, d).groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_id"))
+    out = match_rules_indexed(names, _customer_rules(spark, d))
+    return out.groupBy("domain", "rule_name").agg(F.sum("n").alias("n"), F.max("last_id").alias("last_id"))
 
 
 def q_ignored_names(spark: SparkSession, d: str) -> DataFrame:
