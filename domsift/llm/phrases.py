@@ -102,16 +102,16 @@ class Words:
             out[k + 1, there] = self.ids[at[there] + k]
         return out
 
-    def leading(self, columns: np.ndarray) -> list[np.ndarray]:
-        """Hashes of the language and the first k words, by k; alike on every machine."""
+    def leading(self, columns: np.ndarray) -> Iterator[np.ndarray]:
+        """Hashes of the language and the first k words, from k = 0 on, one held at a time; alike on every machine."""
         of_lang, of_word = (
             pd.util.hash_array(np.append(listed.to_numpy(zero_copy_only=False), [""]), categorize=False) for listed in (self.langs, self.words)
         )
-        hashes = [of_lang[columns[0]]]
+        hashed = of_lang[columns[0]]
+        yield hashed
         for column in columns[1:]:
-            mixed = (hashes[-1] ^ (hashes[-1] >> np.uint64(29))) * _MIX
-            hashes.append(mixed + of_word[column])
-        return hashes
+            hashed = (hashed ^ (hashed >> np.uint64(29))) * _MIX + of_word[column]
+            yield hashed
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
@@ -123,6 +123,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
             size += len(texts[-1])
             if size >= CHUNK_BYTES:
                 yield Words(langs, texts)
+                pa.default_memory_pool().release_unused()
                 langs, texts, size = [], [], 0
         if texts:
             yield Words(langs, texts)
@@ -138,9 +139,10 @@ def survey(df: DataFrame, longest: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = np.zeros((longest, buckets), dtype=np.int64)
         for words in _chunks(batches):
-            hashes = words.leading(words.suffixes(longest))
-            for k in range(2, longest):
-                filled[k] += np.bincount(_bucket(hashes[k], buckets), minlength=buckets)
+            for k, hashed in enumerate(words.leading(words.suffixes(longest))):
+                if 2 <= k < longest:
+                    filled[k] += np.bincount(_bucket(hashed, buckets), minlength=buckets)
+            del hashed
             table = words.counts()
             nothing = pa.nulls(len(table), pa.int32())
             yield from table.append_column("depth", nothing).append_column("bucket", nothing).to_batches()
@@ -196,17 +198,18 @@ def route(df: DataFrame, longest: int, routes: np.ndarray, whole_from: int, whol
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in _chunks(batches):
             columns = words.suffixes(longest)
-            hashes = words.leading(columns)
             to = np.full(columns.shape[1], -1, dtype=np.int64)
             depth = np.full(columns.shape[1], longest, dtype=np.int32)
-            for k in range(2, longest):
-                todo = np.flatnonzero(to < 0)
-                to[todo] = routes[k][_bucket(hashes[k][todo], buckets)]
-                depth[todo[to[todo] >= 0]] = k
+            for k, hashed in enumerate(words.leading(columns)):
+                if 2 <= k < longest:
+                    todo = np.flatnonzero(to < 0)
+                    to[todo] = routes[k][_bucket(hashed[todo], buckets)]
+                    depth[todo[to[todo] >= 0]] = k
             todo = np.flatnonzero(to < 0)
-            to[todo] = whole_from + _bucket(hashes[longest][todo], max(1, wholes))
+            to[todo] = whole_from + _bucket(hashed[todo], max(1, wholes))
             # equal suffixes become one; equal hashes alone don't make them equal
-            order = np.lexsort((hashes[longest], to))
+            order = np.lexsort((hashed, to))
+            del hashed, todo
             columns, to, depth = columns[:, order], to[order], depth[order]
             new = np.append(True, (columns[:, 1:] != columns[:, :-1]).any(axis=0))[: len(to)]
             first = np.flatnonzero(new)
@@ -251,24 +254,33 @@ def sort_suffixes(columns: np.ndarray, weight: np.ndarray, least: int, depth: in
             stack.append((equal, d + 1))
 
 
-def _unpacked(packed: list[bytes]) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
-    """Languages, words and suffixes of several packs, under one numbering."""
-    batches = [pa.ipc.open_stream(data).read_next_batch() for data in packed]
+def _unpacked(packed: list[pa.Buffer]) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
+    """Languages, words and suffixes of several packs, under one numbering; one pack's numbers are held at a time."""
     listed, numbers = [], []
     for name in ("langs", "words"):
-        parts = [batch[name].flatten() for batch in batches]
+        parts = [_pack(data)[name].flatten() for data in packed]
         coded = pa.concat_arrays(parts).dictionary_encode()
         listed.append(coded.dictionary)
         of_all = coded.indices.to_numpy()
         ends = np.cumsum([len(p) for p in parts])
-        numbers.append([np.append(of_all[end - len(p) : end], -1) for p, end in zip(parts, ends)])
-    suffixes, weights = [], []
-    for batch, of_lang, of_word in zip(batches, *numbers):
-        weight = np.frombuffer(batch["weight"][0].as_py(), "<i4")
-        at = np.frombuffer(batch["at"][0].as_py(), "<i4").reshape(-1, len(weight))
-        suffixes.append(np.concatenate([of_lang[at[:1]], of_word[at[1:]]]))
-        weights.append(weight)
-    return *listed, np.concatenate(suffixes, axis=1), np.concatenate(weights).astype(np.int64)
+        numbers.append([np.append(of_all[end - len(p) : end], np.int32(-1)) for p, end in zip(parts, ends)])
+        del parts
+    weights = [np.frombuffer(_pack(data)["weight"][0].as_buffer(), "<i4") for data in packed]
+    suffixes, done = None, 0
+    for data, weight, of_lang, of_word in zip(packed, weights, *numbers):
+        at = np.frombuffer(_pack(data)["at"][0].as_buffer(), "<i4").reshape(-1, len(weight))
+        if suffixes is None:
+            suffixes = np.empty((len(at), sum(map(len, weights))), dtype=np.int32)
+        here = suffixes[:, done : done + len(weight)]
+        np.take(of_lang, at[0], out=here[0], mode="wrap")
+        for column, to in zip(at[1:], here[1:]):
+            np.take(of_word, column, out=to, mode="wrap")
+        done += len(weight)
+    return *listed, suffixes, np.concatenate(weights).astype(np.int64)
+
+
+def _pack(data: pa.Buffer) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
 
 
 def count_phrases(df: DataFrame, longest: int = LONGEST, least: int = LEAST, buckets: int = BUCKETS, group: int = GROUP_SUFFIXES):
@@ -281,8 +293,10 @@ def count_phrases(df: DataFrame, longest: int = LONGEST, least: int = LEAST, buc
     routes, whole_from, wholes = plan_routes(filled, group)
 
     def sort(table: pa.Table) -> pa.Table:
-        langs, words, columns, weight = _unpacked(table["suffixes"].to_pylist())
+        langs, words, columns, weight = _unpacked([pack.as_buffer() for pack in table["suffixes"]])
         found = list(sort_suffixes(columns, weight, least, table["depth"][0].as_py()))
+        del columns, weight
+        pa.default_memory_pool().release_unused()
         return pa.table(
             {
                 "lang": pa.array([langs[int(key[0])].as_py() for key, _ in found], pa.string()),
