@@ -14,7 +14,9 @@ the first one. The work is to find the anchors:
    all, and walks that go on alike are one walk;
 3. the rows on the chain that begins at the channel's first row, by pointer doubling.
 
-Tasks hold one (channel, bucket) each.
+Tasks hold one (channel, bucket) each, as rows without texts: what a digest shows of
+an alert is written beside them and meets the few columns again at the end, in tasks
+of at most about ``TEXTS_PER_TASK`` rows.
 """
 
 from __future__ import annotations
@@ -30,6 +32,10 @@ from domsift.operators.scan import BUCKET_SECONDS, bucket_of, look
 from domsift.operators.store import stored
 
 
+#: Rows with their texts that a task handles.
+TEXTS_PER_TASK = 25_000
+
+
 def _reaches(width: int, size: int):
     """Per bucket: each own row with the row at which ``size`` groups are reached within ``width`` (else null)."""
 
@@ -172,9 +178,11 @@ def digest_flush(
         (F.col(order) if order else F.lit(0)).alias("_order"), F.col("domain").alias("_name"), entry.alias("_entry"),
     ).where("_us is not null")
     rows = rows.withColumn("_c", F.coalesce(F.concat(F.lit("="), "_channel"), F.lit(""))).withColumn("_bucket", bucket_of(F.col("_us"), bucket))
+    texts = stored(rows.withColumn("_id", F.monotonically_increasing_id()), "alerts")
     in_bucket = Window.partitionBy("_c", "_bucket").orderBy("_us", "_order", "_name")
-    rows = stored(rows.withColumn("_pos", F.row_number().over(in_bucket).cast("bigint")), "alerts")
-    points = rows.select("_c", "_bucket", "_pos", "_us", F.coalesce(F.concat(F.lit("="), "_entry.group"), F.lit("")).alias("_g"))
+    rows = texts.select("_c", "_channel", "_us", "_order", "_name", "_bucket", "_id", F.col("_entry.group").alias("_group"))
+    rows = stored(rows.withColumn("_pos", F.row_number().over(in_bucket).cast("bigint")).drop("_order", "_name"), "rows")
+    points = rows.select("_c", "_bucket", "_pos", "_us", F.coalesce(F.concat(F.lit("="), "_group"), F.lit("")).alias("_g"))
     sent = stored(_anchors(points, width, batch_size, bucket).withColumn("_cut", F.lit(True)), "anchors")
     first = rows.groupBy("_c").agg(F.min(F.struct("_bucket", "_pos")).alias("_f"))
     opens = first.select("_c", "_f._bucket", "_f._pos", F.lit(True).alias("_opens"))
@@ -188,11 +196,13 @@ def digest_flush(
     seen = seen.withColumn("_anchor", F.coalesce("_anchor", F.struct("_us", "_bucket", F.lit(0).cast("bigint").alias("_pos"))))
     tick: Column = F.floor((F.col("_us") - F.col("_anchor._us")) / F.lit(width)).cast("bigint")
     key = ["_c", "_channel", "_anchor", "_k"]
-    rank = F.struct("_us", "_bucket", "_pos")
-    per_group = seen.withColumn("_k", tick).groupBy(*key, F.col("_entry.group").alias("group")).agg(
-        F.min(rank).alias("_first"), F.min_by("_entry", rank).alias("_entry"),
-        (F.count(F.lit(1)) - 1).alias("more"), F.max(F.when(F.col("_cut"), F.col("_us"))).alias("_sent"),
+    rank = F.struct("_us", "_bucket", "_pos", "_id")
+    per_group = seen.withColumn("_k", tick).groupBy(*key, F.col("_group").alias("group")).agg(
+        F.min(rank).alias("_first"), (F.count(F.lit(1)) - 1).alias("more"), F.max(F.when(F.col("_cut"), F.col("_us"))).alias("_sent"),
     )
+    tasks = max(1, -(-texts.count() // TEXTS_PER_TASK))
+    shown = texts.select("_id", "_entry").repartition(tasks, "_id")
+    per_group = per_group.withColumn("_id", F.col("_first._id")).repartition(tasks, "_id").join(shown, "_id").repartition(tasks, *key)
     e = F.col("_entry")
     more = F.when(F.col("more") > 0, F.concat(F.lit(" (+"), F.col("more").cast("string"), F.lit(" more)"))).otherwise(F.lit(""))
     line = F.concat(e["head"], more, e["tail"])

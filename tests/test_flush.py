@@ -5,6 +5,7 @@ import random
 import pytest
 from test_streaming import ALERT, _run, _stream, alert, at
 
+from domsift.operators import flush
 from domsift.operators.flush import digest_flush
 from domsift.streaming import ops
 
@@ -56,6 +57,17 @@ def test_digest_flush_equals_plain_loop(spark, rows, width, size, bucket):
     assert all(r.entries == len(r.groups) == len(r.alerts) == len(r.text.split("\n")) - 2 for r in got)
 
 
+def test_texts_stay_out_of_the_looks_along_a_channel(spark, monkeypatch):
+    rows, seen, look = made(9, 200, [0, 1, 2, 9], 12), [], flush.look
+    monkeypatch.setattr(flush, "look", lambda df, *a, **k: seen.append(df.columns) or look(df, *a, **k))
+    monkeypatch.setattr(flush, "TEXTS_PER_TASK", 30)
+    df = spark.createDataFrame([alert(i, t, name, None, channel) for i, (t, channel, name) in enumerate(rows)], ALERT).repartition(5)
+    got = digest_flush(df, "channel", "timestamp", 30, 4, "id", 60).collect()
+    assert {(r.channel, r.batch): (r.flushed_at, r.reason, r.groups, r.deduplicated) for r in got} == plain(rows, 30, 4)
+    assert all(name in r.text and name in r.alerts[i] for r in got for i, name in enumerate(r.groups))
+    assert seen and not any("_entry" in columns for columns in seen)
+
+
 def test_digest_flush_equals_stream(spark):
     rows = [alert(i, t, f"w.{name}", name, channel) for i, (t, channel, name) in enumerate(made(8, 120, [0, 1, 2, 30], 9))]
     src = _stream(spark, ALERT, rows[:50], rows[50:51], rows[51:], [alert(999, 9000, "end.test", "end.test", "z")])
