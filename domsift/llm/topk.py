@@ -9,8 +9,12 @@ proven that at most a few members can still be among the k best, counting what
 earlier blocks have given, or when no segment is left; those members are scored
 again exactly.
 
-Queries are a stated set of rows; they meet every block (an equi-join on block
-numbers), so the work is their product with the table, in bounded pieces.
+Queries are a stated set of rows; they meet every block, so the work is their
+product with the table. Blocks are dealt into strips and queries into lanes; a
+task takes one strip and one lane, holds the lane's queries with their k best so
+far, and takes the strip's blocks one at a time. There is no join: a block is
+copied once a lane, a query once a strip, nothing is broadcast or collected, and
+a task gives k rows a query, whatever the number of its blocks.
 
 Defined results
     * null vectors, vectors with null or non-finite components, and rows of null
@@ -29,16 +33,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from domsift.llm.common import written
 
 SCALE = 256
-BLOCK_ROWS = 16384
-QUERY_ROWS = 256
+#: Rows of a block, and bytes of its vectors as longs, at most.
+BLOCK_ROWS, BLOCK_BYTES = 16384, 1 << 23
+#: Bytes of queries and their best that a task holds at most; queries that are worth a lane of their own.
+LANE_BYTES, LANE_ROWS = 1 << 25, 64
+#: Each lane is a copy of the table, each strip one of the queries: strips at most, lanes at most where memory does not ask for more, tasks from which on more lanes are not worth a copy.
+STRIPS, LANES, TASKS = 64, 4, 128
 LEVEL_BITS = 4
 #: Members that are left for exact scoring, at most, when a block is given up early.
 RESCORE = 64
@@ -129,64 +137,97 @@ class Block:
         return alive, self.vectors[alive] @ query
 
 
-def _packed(rows: list, width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width), dtype=np.int64)
-    for i, row in enumerate(rows):
-        out[i, : len(row)] = row
+def _packed(vectors: pa.ListArray, width: int, kind: np.dtype) -> np.ndarray:
+    out = np.zeros((len(vectors), width), dtype=kind)
+    out[np.arange(width) < pc.list_value_length(vectors).to_numpy(zero_copy_only=False)[:, None]] = vectors.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
+class Asked:
+    """Some queries of a task, with the k best of the blocks seen so far."""
+
+    def __init__(self, names: np.ndarray, vectors: np.ndarray, k: int):
+        self.names, self.vectors, self.k = names, vectors, k
+        self.count = np.zeros(len(names), dtype=np.int64)
+        self.ids = np.zeros((len(names), k), dtype=np.int64)
+        self.scores = np.zeros((len(names), k), dtype=np.int64)
+
+    def meet(self, block: Block, ids: np.ndarray) -> None:
+        k = self.k
+        for i, name in enumerate(self.names[:, 1].tolist()):
+            n = int(self.count[i])
+            # own vector may be a member: one more than k
+            at, score = block.search(self.vectors[i].astype(np.int64), k + 1, int(self.scores[i, -1]) if n == k else None)
+            other = ids[at, 1] != name
+            found = np.concatenate([self.ids[i, :n], ids[at[other], 0]])
+            score = np.concatenate([self.scores[i, :n], score[other]])
+            order = np.lexsort((found, -score))[:k]
+            self.count[i] = n = len(order)
+            self.ids[i, :n], self.scores[i, :n] = found[order], score[order]
+
+    def best(self) -> pa.RecordBatch:
+        filled = np.arange(self.k) < self.count[:, None]
+        columns = [np.repeat(self.names[:, 1], self.count), np.repeat(self.names[:, 0], self.count), self.ids[filled], self.scores[filled]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["row", "query_id", "vec_id", "score"])
+
+
 def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best others of each row where ``is_query``."""
     usable = df.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"))
     # numbered once the rows lie in files, so that a task run again finds the same numbers
     read = written(usable.where("id is not null and v is not null"), "usable")
     vectors = written(read.withColumn("row", F.monotonically_increasing_id()), "vectors")
-    rows, width = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    blocks = max(1, -(-rows // BLOCK_ROWS))
-
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["id", "row"], ignore_index=True)
-        names = group[["id", "row"]].to_numpy(np.int64)
-        return pd.DataFrame({"part": [int(group["part"][0])], "ids": [names.tobytes()], "data": [_packed(group["v"].tolist(), width).tobytes()]})
+    largest = F.greatest(F.array_max("v"), -F.array_min("v"))
+    rows, width, most = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max(largest), F.lit(0))).first()
+    chosen = vectors.withColumnRenamed("id", id_col).where(is_query).withColumnRenamed(id_col, "id")
+    n_queries = chosen.count()
+    kind = np.dtype(next(t for t in (np.int16, np.int32, np.int64) if most <= np.iinfo(t).max))
+    block_rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, width))))
+    blocks = max(1, -(-rows // block_rows))
+    strips = min(blocks, STRIPS)
+    lane_rows = max(1, LANE_BYTES // (width * kind.itemsize + 16 * (k + 1)))
+    lanes = max(1, -(-n_queries // lane_rows), min(LANES, -(-TASKS // strips), -(-n_queries // LANE_ROWS)))
+
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("id", "ascending"), ("row", "ascending")]).combine_chunks()
+        names = np.stack([group["id"].to_numpy(), group["row"].to_numpy()], axis=1)
+        data = _packed(group["v"].chunk(0), width, kind)
+        return pa.table({"part": group["part"][:1], "ids": pa.array([names.tobytes()], pa.binary()), "data": pa.array([data.tobytes()], pa.binary())})
 
     def parted(frame: DataFrame, parts: int) -> DataFrame:
         part = F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part")
-        return frame.select("id", "row", "v", part).groupBy("part").applyInPandas(pack, "part int, ids binary, data binary")
+        return frame.select("id", "row", "v", part).groupBy("part").applyInArrow(pack, "part int, ids binary, data binary")
 
-    chosen = vectors.withColumnRenamed("id", id_col).where(is_query).withColumnRenamed(id_col, "id")
-    n_queries = chosen.count()
-    index = parted(vectors, blocks)
-    asked = parted(chosen, max(1, -(-n_queries // QUERY_ROWS))).select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"), F.col("ids").alias("query_ids"), F.col("data").alias("queries")
-    )
+    def dealt(packs: DataFrame, asks: bool) -> DataFrame:
+        """Blocks to each lane's task of their strip, queries to each strip's task of their lane."""
+        own, others = F.col("part") % (lanes if asks else strips), F.explode(F.sequence(F.lit(0), F.lit((strips if asks else lanes) - 1)))
+        spread = packs.select("part", "ids", "data", others.alias("other"))
+        task = F.col("other") * lanes + own if asks else own * lanes + F.col("other")
+        return spread.select(task.cast("int").alias("task"), F.lit(not asks).alias("block"), "part", "ids", "data")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floors: dict[int, list[int]] = {}  # the k best scores this task has seen, of each query
-        now, block, ids = None, None, None
+        now, asked = None, []
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
-                if row["part"] != now:
-                    now, ids = row["part"], np.frombuffer(row["ids"], dtype=np.int64).reshape(-1, 2)
-                    block = Block(np.frombuffer(row["data"], dtype=np.int64).reshape(len(ids), -1))
-                names = np.frombuffer(row["query_ids"], dtype=np.int64).reshape(-1, 2)
-                queries = np.frombuffer(row["queries"], dtype=np.int64).reshape(len(names), -1)
-                found: list[tuple[np.ndarray, ...]] = []
-                for (query_id, name), query in zip(names.tolist(), queries):
-                    best = floors.get(name, [])
-                    # own vector may be a member: one more than k
-                    at, score = block.search(query, k + 1, best[-1] if len(best) == k else None)
-                    other = ids[at, 1] != name
-                    at, score = at[other], score[other]
-                    order = np.lexsort((ids[at, 0], -score))[:k]
-                    at, score = at[order], score[order]
-                    floors[name] = sorted(best + score.tolist(), reverse=True)[:k]
-                    found.append((np.full(len(at), name), np.full(len(at), query_id), ids[at, 0], score))
-                columns = [np.concatenate(c) for c in zip(*found)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["row", "query_id", "vec_id", "score"])
-
-    met = index.join(asked, "part").select("part", "ids", "data", "query_ids", "queries")
+                if row["task"] != now:
+                    yield from (queries.best() for queries in asked)
+                    now, asked = row["task"], []
+                ids = np.frombuffer(row["ids"], dtype=np.int64).reshape(-1, 2)
+                data = np.frombuffer(row["data"], dtype=kind).reshape(len(ids), -1)
+                if not row["block"]:
+                    asked.append(Asked(ids, data, k))
+                    continue
+                block = Block(data.astype(np.int64))
+                for queries in asked:
+                    queries.meet(block, ids)
+        yield from (queries.best() for queries in asked)
+
+    index = parted(vectors, blocks)
+    # packs of queries that are no larger than blocks
+    queries = parted(chosen, lanes * max(1, -(-n_queries // (lanes * block_rows))))
+    both = dealt(queries, True).unionByName(dealt(index, False))
+    met = both.repartitionById(strips * lanes, "task").sortWithinPartitions("task", "block", "part")
     partial = met.mapInArrow(search, "row long, query_id long, vec_id long, score long")
     order = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -443,6 +443,30 @@ def test_top_k(spark, monkeypatch):
     assert few.count() == 10 and topk.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("largest", [1, 1000, 2**21])
+def test_top_k_broadcasts_and_joins_nothing(spark, monkeypatch, largest):
+    for name, value in {"BLOCK_ROWS": 20, "STRIPS": 3, "LANES": 2, "LANE_ROWS": 4}.items():
+        monkeypatch.setattr(topk, name, value, raising=False)
+    rnd = np.random.default_rng(15)
+    rows = [(i % 280, (largest * rnd.uniform(-1, 1, 6)).tolist()) for i in range(300)]
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    want = []
+    for at, (q, query) in enumerate(whole):
+        if q % 10 == 0:
+            best = sorted((-sum(map(int.__mul__, query, v)), i) for other, (i, v) in enumerate(whole) if other != at)[:5]
+            want += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64m")
+    try:
+        found = topk.top_k(spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<DOUBLE>"), F.col("vec_id") % 10 == 0)
+        assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) == 150
+        # queries copied for all blocks were once broadcast on the size of a single copy
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Broadcast" not in plan and "Join" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 def test_top_k_of_equal_ids_and_large_components(spark):
     rows = [(0, [1.0, 2.0]), (1, [0.5, 0.0]), (1, [3.0, 0.0]), (2, [2e6, 0.0]), (3, [-(2.0**24), 1.0]), (3, [2.0**25, 0.25]), (4, [0.1, -0.1])]
     df = spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<DOUBLE>")
